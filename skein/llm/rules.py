@@ -125,7 +125,8 @@ def measures(df: DataFrame, text: str = "text") -> DataFrame:
             per(c("word_chars"), c("n_words")).alias("mean_word_chars"),
             per(c("n_symbols"), c("n_words")).alias("symbol_ratio"),
             per(c("n_pipe_lines"), c("n_lines")).alias("pipe_line_ratio"),
-            per(c("n_stop"), c("n_words")).alias("stop_ratio"),
+            # a text of under 30 words is too short to tell
+            F.when(c("n_words") < 30, F.lit(1.0)).otherwise(per(c("n_stop"), c("n_words"))).alias("stop_ratio"),
             per(c("n_dup_lines"), c("n_lines")).alias("dup_line_ratio"),
             per(c("n_capitals"), c("n_letters")).alias("shout_ratio"),
             per(c("n_stutter"), c("n_words")).alias("stutter_ratio"),
