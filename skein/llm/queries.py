@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from . import rules
+from . import neardup, rules
 
-QUERIES = {"op5_quality_rules": rules.op5_quality_rules}
+QUERIES = {
+    "op5_quality_rules": rules.op5_quality_rules,
+    "op8_minhash_near_dedup": neardup.op8_minhash_near_dedup,
+}
 SQL: dict[str, str] = {}
