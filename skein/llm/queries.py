@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import neardup, rules
+from . import decontam, neardup, rules, spans
 
 QUERIES = {
+    "op4_benchmark_decontamination": decontam.op4_benchmark_decontamination,
     "op5_quality_rules": rules.op5_quality_rules,
     "op8_minhash_near_dedup": neardup.op8_minhash_near_dedup,
+    "op10_substring_dedup": spans.op10_substring_dedup,
 }
 SQL: dict[str, str] = {}
