@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontam, neardup, rules, spans
+from . import decontam, neardup, packing, rules, spans, warc
 
 QUERIES = {
     "op4_benchmark_decontamination": decontam.op4_benchmark_decontamination,
     "op5_quality_rules": rules.op5_quality_rules,
+    "op7_packing": packing.op7_packing,
     "op8_minhash_near_dedup": neardup.op8_minhash_near_dedup,
+    "op9_warc": warc.op9_warc,
     "op10_substring_dedup": spans.op10_substring_dedup,
 }
 SQL: dict[str, str] = {}

@@ -28,10 +28,10 @@ from .common import cut, ship, table
 
 @dataclass(frozen=True)
 class SpanConfig:
-    min_words: int = 20
+    min_words: int = 16
     least: int = 2
-    long: int = 12
-    every: int = 8
+    long: int = 8
+    every: int = 4
 
 
 _STOP = np.zeros(256, dtype=bool)
