@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontam, neardup, packing, quality, rules, spans, warc
+from . import decontam, neardup, packing, pii, quality, rules, spans, warc
 
 QUERIES = {
+    "op1_pii": pii.op1_pii,
     "op2_quality_classifier": quality.op2_quality_classifier,
     "op4_benchmark_decontamination": decontam.op4_benchmark_decontamination,
     "op5_quality_rules": rules.op5_quality_rules,
