@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontam, neardup, packing, pii, quality, rules, spans, warc
+from . import decontam, html, neardup, packing, pii, quality, rules, spans, warc
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
     "op2_quality_classifier": quality.op2_quality_classifier,
     "op4_benchmark_decontamination": decontam.op4_benchmark_decontamination,
     "op5_quality_rules": rules.op5_quality_rules,
+    "op6_html_extraction": html.op6_html_extraction,
     "op7_packing": packing.op7_packing,
     "op8_minhash_near_dedup": neardup.op8_minhash_near_dedup,
     "op9_warc": warc.op9_warc,
