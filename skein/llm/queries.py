@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontam, html, neardup, packing, pii, quality, rules, spans, warc
+from . import decontam, html, lm, neardup, packing, pii, quality, rules, spans, warc
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
     "op2_quality_classifier": quality.op2_quality_classifier,
+    "op3_lm_scoring": lm.op3_lm_scoring,
     "op4_benchmark_decontamination": decontam.op4_benchmark_decontamination,
     "op5_quality_rules": rules.op5_quality_rules,
     "op6_html_extraction": html.op6_html_extraction,
