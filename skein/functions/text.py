@@ -112,15 +112,6 @@ def serialized(parts: Column, most: int) -> Column:
     return F.aggregate(parts, F.struct(F.lit("").alias("s"), F.lit(False).alias("stop")), step, lambda a: a["s"])
 
 
-def minhash(grams: Column, permutations: int) -> Column:
-    """The least hash of the grams under each of ``permutations`` seeds."""
-    return F.transform(F.sequence(F.lit(0), F.lit(permutations - 1)), lambda s: F.array_min(F.transform(grams, lambda g: F.xxhash64(s, g))))
-
-
-def bands(signature: Column, n: int, rows: int) -> Column:
-    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda b: F.xxhash64(b, F.array_join(F.slice(signature, b * rows + 1, rows), ",")))
-
-
 def s_curve(n_bands: int, rows: int) -> float:
     """The similarity at which a pair is about as likely found as not."""
     return (1.0 / n_bands) ** (1.0 / rows)

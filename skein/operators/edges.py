@@ -5,6 +5,8 @@ An edge is (a, b, tier, score, method) with a before b in the total order of doc
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -102,11 +104,37 @@ def near_pairs(docs: DataFrame, cfg: DedupConfig = DedupConfig()) -> DataFrame:
     return whole.select("a", "b", T.jaccard(F.col("sa"), F.col("sb")).alias("score")).filter(F.col("score") >= cfg.jaccard)
 
 
+def band_keys(hashed: DataFrame, cfg: DedupConfig = DedupConfig()) -> DataFrame:
+    """doc_id, band, key of each document (doc_id, h: hashes of its shingles): MinHash signatures, cut into bands.
+
+    Multiplying by odd 64-bit factors makes one hash function after another, each an array operation.
+    """
+    factors = np.array([2 * (0x9E3779B97F4A7C15 * (i + 1) % (1 << 62)) + 1 for i in range(cfg.permutations)], dtype=np.uint64)
+
+    def run(batches):
+        for batch in batches:
+            h = batch.column(1)
+            sizes = np.diff(h.offsets.to_numpy())
+            if not len(sizes):
+                continue
+            x = np.asarray(h.flatten()).view(np.uint64)
+            x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+            x ^= x >> np.uint64(29)
+            at = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+            sig = np.stack([np.minimum.reduceat(x * f, at) for f in factors], axis=1)
+            mixed = (sig * factors).reshape(len(sizes), cfg.bands, cfg.rows)
+            keys = np.bitwise_xor.reduce(mixed, axis=2) + np.arange(cfg.bands, dtype=np.uint64)
+            n = len(sizes)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.asarray(batch.column(0)), cfg.bands)), pa.array(np.tile(np.arange(cfg.bands, dtype=np.int32), n)), pa.array(keys.ravel().view(np.int64))], ["doc_id", "band", "key"])
+
+    return hashed.mapInArrow(run, "doc_id long, band int, key long")
+
+
 def lsh_candidates(docs: DataFrame, cfg: DedupConfig = DedupConfig(), most: int = 250_000) -> DataFrame:
     """(a, b) of distinct contents that share a band of their MinHash signatures; too many candidates raise."""
     reps = exact_groups(docs, 1).select(F.col("rep").alias("doc_id"))
     grams = docs.join(reps, "doc_id", "left_semi").select("doc_id", T.shingles(T.tokens(F.col("text")), cfg.shingle).alias("g")).filter(F.size("g") >= cfg.min_shingles)
-    keys = grams.select("doc_id", F.posexplode(T.bands(T.minhash(F.col("g"), cfg.permutations), cfg.bands, cfg.rows)).alias("band", "key"))
+    keys = band_keys(grams.select("doc_id", F.transform("g", lambda g: F.xxhash64(g)).alias("h")), cfg)
     size = keys.groupBy("band", "key").agg(F.count(F.lit(1)).alias("k")).filter("k > 1")
     cost = size.agg(F.sum(F.col("k") * (F.col("k") - 1) / 2)).first()[0] or 0
     if cost > most:

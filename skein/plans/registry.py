@@ -25,3 +25,11 @@ def register(name: str, sql: str | None = None):
         return f
 
     return put
+
+
+def load() -> None:
+    """Import the modules that register queries."""
+    from . import dedup, quality, text  # noqa: F401
+
+
+load()
