@@ -8,8 +8,8 @@ a few words would leave most registers of a partitioned sketch empty.
 Texts with equal sets are one class. Classes that share a band of registers are candidates; in every
 bucket all classes are compared with one centre, so a bucket of n classes gives n - 1 pairs. Confirmed
 links make components, and buckets that still hold several components are dealt with again under other
-centres. What is left after these rounds is compared pair by pair across components, so no link that
-the bands found is lost. A pair is verified on full sets only if the register estimate, corrected for
+centres. What is left after these rounds is compared pair by pair across components, but for sets that
+share too few shingles with all others to have a link, so no link that the bands found is lost. A pair is verified on full sets only if the register estimate, corrected for
 chance collisions, allows it.
 
 Null and empty texts have no shingles and link with nothing: each is its own component. Repeated rows
@@ -38,13 +38,14 @@ class NearConfig:
     bands: int = 32
     rows: int = 4
     mantissa: int = 11
-    slack: float = 0.25  # estimates are wrong by more than this with a chance under 1e-9
-    rounds: int = 3
-    broadcast_ids: int = 1_000_000  # up to so many ids (16 MB) find their texts without a shuffle of all texts
+    extra: int = 384  # registers beyond the bands', for estimates only
+    slack: float = 0.105  # an estimate from 512 registers is this far off with a chance of about 1e-7
+    rounds: int = 1
+    broadcast_ids: int = 500_000  # up to so many ids (8 MB) find their texts without a shuffle of all texts
 
     @property
     def registers(self) -> int:
-        return self.bands * self.rows
+        return self.bands * self.rows + self.extra
 
 
 def multipliers(n: int) -> np.ndarray:
@@ -119,20 +120,28 @@ def classes(sketched: DataFrame) -> DataFrame:
 
 
 def banded(reps: DataFrame, cfg: NearConfig) -> DataFrame:
-    """rep, n and key, a row for each band."""
+    """rep, band and key, a row for each band."""
     wide = 2 * cfg.rows
     keys = F.array(*[F.xxhash64(F.lit(b), F.substring("sig", wide * b + 1, wide)) for b in range(cfg.bands)])
-    return reps.select("rep", F.explode(keys).alias("key"))
+    return reps.select("rep", F.posexplode(keys).alias("band", "key"))
 
 
-def matches(pairs: DataFrame, reps: DataFrame, docs: DataFrame, cfg: NearConfig) -> DataFrame:
-    """The pairs (x, y) whose full sets have the similarity asked for.
+def first_shared(a: str, b: str, cfg: NearConfig):
+    """The first band in which two signatures agree."""
+    wide = 2 * cfg.rows
+    same = F.transform(F.sequence(F.lit(0), F.lit(cfg.bands - 1)), lambda i: F.substring(F.col(a), i * wide + 1, F.lit(wide)) == F.substring(F.col(b), i * wide + 1, F.lit(wide)))
+    return F.array_position(same, True) - 1
 
-    Sizes and register estimates drop hopeless pairs; what is left is joined with the texts, each pair
-    with its centre's, and compared on whole shingle sets.
-    """
-    percent, words_, least = cfg.percent, cfg.words, cfg.percent / 100 - cfg.slack
-    mantissa = cfg.mantissa
+
+def likeness(a: str, b: str, cfg: NearConfig):
+    """The share of registers in which two signatures agree; chance agreements only raise it."""
+    same = F.filter(F.sequence(F.lit(0), F.lit(cfg.registers - 1)), lambda i: F.substring(F.col(a), i * 2 + 1, F.lit(2)) == F.substring(F.col(b), i * 2 + 1, F.lit(2)))
+    return F.size(same) / cfg.registers
+
+
+def plausible(pairs: DataFrame, reps: DataFrame, cfg: NearConfig) -> DataFrame:
+    """The pairs (x, y) that sizes and collision-corrected register estimates leave possible."""
+    percent, least, mantissa = cfg.percent, cfg.percent / 100 - cfg.slack, cfg.mantissa
     of = lambda c: reps.select(F.col("rep").alias(c), F.col("n").alias(f"n_{c}"), F.col("sig").alias(f"sig_{c}"))
     sized = pairs.join(of("y"), "y").join(of("x"), "x")
     sized = sized.filter((100 * F.least("n_x", "n_y") >= percent * F.greatest("n_x", "n_y")))
@@ -150,10 +159,17 @@ def matches(pairs: DataFrame, reps: DataFrame, docs: DataFrame, cfg: NearConfig)
             ok = (same - e) / (1 - e) >= least
             yield pa.RecordBatch.from_arrays([x.filter(pa.array(ok)), y.filter(pa.array(ok))], ["x", "y"])
 
-    some = cut(sized.select("x", "y", "n_x", "sig_x", "sig_y").mapInArrow(likely, "x long, y long"), "likely")
-    ids = some.select(F.explode(F.array("x", "y")).alias("doc_id")).distinct()
-    few = ids.count() <= cfg.broadcast_ids
-    docs = docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return sized.select("x", "y", "n_x", "sig_x", "sig_y").mapInArrow(likely, "x long, y long")
+
+
+def matches(some: DataFrame, docs: DataFrame, cfg: NearConfig) -> DataFrame:
+    """The pairs (x, y) of a written table whose full sets have the similarity asked for.
+
+    Each pair is joined with both texts, in the order of x, and compared on whole shingle sets.
+    """
+    percent, words_ = cfg.percent, cfg.words
+    ids = some.select(F.col("x").alias("doc_id")).unionByName(some.select(F.col("y").alias("doc_id"))).distinct()
+    docs = texts_of(ids, docs, cfg)
 
     def confirm(batches):
         for batch in batches:
@@ -206,6 +222,62 @@ def components(edges: DataFrame, tag: str = "cc") -> DataFrame:
     return edges.select(F.col("y").alias("v"), F.col("x").alias("c")).unionByName(edges.select(F.col("x").alias("v"), F.col("x").alias("c"))).groupBy("v").agg(F.min("c").alias("c"))
 
 
+def texts_of(ids: DataFrame, docs: DataFrame, cfg: NearConfig) -> DataFrame:
+    """One row of ``docs`` for each doc_id of ``ids``; few ids find their texts without a shuffle of all texts."""
+    few = ids.count() <= cfg.broadcast_ids
+    return docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+
+
+def shared_shingles(reps: DataFrame, docs: DataFrame, cfg: NearConfig) -> DataFrame:
+    """rep, s: how many of its shingles some other set of ``reps`` has too. No two sets share more than either's s."""
+
+    def run(batches):
+        for batch in batches:
+            ids = np.asarray(batch.column(0).cast(pa.int64()))
+            for i, j, data, off in hashing.blocks(batch.column(1)):
+                sets = list(hashing.shingle_sets(hashing.words(data, off), cfg.words))
+                flat = np.concatenate(sets).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[i:j], [len(x) for x in sets])), pa.array(flat)], ["rep", "h"])
+
+    ids = cut(reps.select(F.col("rep").alias("doc_id")).distinct(), "ids")
+    every = texts_of(ids, docs, cfg).select("doc_id", "text").mapInArrow(run, "rep long, h long")
+    common = every.groupBy("h").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("h")
+    return every.join(common, "h").groupBy("rep").agg(F.count(F.lit(1)).alias("s"))
+
+
+def mixed(held: DataFrame) -> DataFrame:
+    """The rows of ``held`` (key, c, ...) whose bucket holds several components."""
+    keys = held.groupBy("key").agg(F.min("c").alias("p"), F.max("c").alias("q")).filter("p <> q").select("key")
+    return held.join(keys, "key")
+
+
+def stars(held: DataFrame, weight: DataFrame | None, turn: int) -> DataFrame:
+    """(x, y): every bucket's centre with each of its members in other components."""
+    ranked = held.withColumn("w", F.lit(0)) if weight is None else held.join(weight, "rep")
+    order = F.struct(-F.col("w"), F.xxhash64(F.lit(turn), "rep"), F.col("rep").alias("rep"), F.col("c").alias("c"))
+    centre = ranked.groupBy("key").agg(F.min(order).alias("o")).select("key", F.col("o.rep").alias("x"), F.col("o.c").alias("cx"))
+    return held.join(centre, "key").filter("c <> cx").select("x", F.col("rep").alias("y"))
+
+
+def leftover(held: DataFrame, reps: DataFrame, docs: DataFrame, cfg: NearConfig) -> DataFrame:
+    """(x, y): all pairs of a bucket in different components that their sizes and shared shingles allow.
+
+    Sets x and y share at most m = min(s_x, s_y) shingles, so their similarity is at most
+    m / (n_x + n_y - m). What can't reach the asked for similarity even with the smallest set of its
+    bucket is dropped before any pair is made; a pair is made in the first band that it shares only.
+    """
+    p = cfg.percent
+    held = cut(held.join(reps.select("rep", "n"), "rep").join(shared_shingles(held, docs, cfg), "rep"), "shared")
+    low = held.groupBy("key").agg(F.min("n").alias("low"))
+    able = held.join(low, "key").filter(100 * F.col("s") >= p * (F.col("n") + F.greatest("low", "s") - F.col("s"))).drop("low")
+    able = cut(mixed(able).join(reps.select("rep", "sig"), "rep"), "able")
+    other = able.select("key", F.col("rep").alias("x"), F.col("c").alias("cx"), F.col("n").alias("nx"), F.col("s").alias("sx"), F.col("sig").alias("gx"))
+    m = F.least("s", "sx")
+    near = (F.col("c") > F.col("cx")) & (100 * F.least("n", "nx") >= p * F.greatest("n", "nx")) & (100 * m >= p * (F.col("n") + F.col("nx") - m))
+    near = near & (first_shared("sig", "gx", cfg) == F.col("band")) & (likeness("sig", "gx", cfg) >= p / 100 - cfg.slack)
+    return able.join(other, (able.key == other.key) & near).select("x", F.col("rep").alias("y"))
+
+
 def near_duplicates(docs: DataFrame, cfg: NearConfig = NearConfig()) -> DataFrame:
     """doc_id, n_shingles, class_id, component_id for every row of ``docs`` (doc_id, text)."""
     ship(docs.sparkSession)
@@ -214,40 +286,30 @@ def near_duplicates(docs: DataFrame, cfg: NearConfig = NearConfig()) -> DataFram
     member = cut(classes(sketched), "class")
     reps = member.filter("sig is not null").select("rep", "n", "sig").dropDuplicates(["rep"])
     bands = banded(reps, cfg)
-    shared = bands.groupBy("key").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("key")
+    shared = bands.groupBy("key").agg(F.count(F.lit(1)).alias("k")).filter("k > 1")
     bands = cut(bands.join(shared, "key"), "bands")
+    weight = bands.groupBy("rep").agg(F.sum("k").alias("w"))  # what has most company is likely what the rest was made from
 
-    links = tested = label = None
+    label = tested = None
     for turn in range(cfg.rounds + 1):
-        order = lambda c: F.struct(F.xxhash64(F.lit(turn), c).alias("r"), c.alias("rep"))  # noqa: E731, B023
         if label is None:
-            held = bands.withColumn("c", F.col("rep"))
+            held = bands.select("rep", "band", "key", F.col("rep").alias("c"))
         else:
-            held = bands.join(label, bands.rep == label.v, "left").select("rep", "key", F.coalesce("c", "rep").alias("c"))
-            mixed = held.groupBy("key").agg(F.min("c").alias("p"), F.max("c").alias("q")).filter("p <> q").select("key")
-            held = cut(held.join(mixed, "key"), "held")
+            held = cut(mixed(bands.join(label, bands.rep == label.v, "left").select("rep", "band", "key", F.coalesce("c", "rep").alias("c"))), "held")
             if held.isEmpty():
                 break
-        if turn < cfg.rounds:
-            centre = held.groupBy("key").agg(F.min(F.struct(order(F.col("rep")).alias("o"), F.col("c").alias("c"))).alias("s")).select("key", F.col("s.o.rep").alias("x"), F.col("s.c").alias("cx"))
-            pairs = held.join(centre, "key").filter("c <> cx").select("x", F.col("rep").alias("y"))
-        else:
-            size = reps.select("rep", "n")
-            left = held.join(size, "rep")
-            right = left.select("key", F.col("rep").alias("x"), F.col("c").alias("cx"), F.col("n").alias("nx"))
-            near = (F.col("c") > F.col("cx")) & (100 * F.least("n", "nx") >= cfg.percent * F.greatest("n", "nx"))
-            pairs = left.join(right, (left.key == right.key) & near).select("x", F.col("rep").alias("y"))
+        pairs = stars(held, weight if turn == 0 else None, turn) if turn < cfg.rounds else leftover(held, reps, docs, cfg)
         pairs = pairs.distinct()
         if tested is not None:
             again = tested.unionByName(tested.select(F.col("y").alias("x"), F.col("x").alias("y")))
             pairs = pairs.join(again, ["x", "y"], "left_anti")
         pairs = cut(pairs, "pairs")
-        found = cut(matches(pairs, reps, docs, cfg), "links")
+        some = cut(plausible(pairs, reps, cfg), "likely") if turn < cfg.rounds else pairs
+        found = cut(matches(some, docs, cfg), "links")
         tested = pairs if tested is None else tested.unionByName(pairs)
         links = found if label is None else found.unionByName(label.select(F.col("c").alias("x"), F.col("v").alias("y")))
         label = cut(components(links), "label")
-    lead = member.join(label, member.rep == label.v, "left").select("doc_id", F.col("n").alias("n_shingles"), F.col("rep").alias("class_id"), F.coalesce("c", "rep").alias("component_id"))
-    return lead
+    return member.join(label, member.rep == label.v, "left").select("doc_id", F.col("n").alias("n_shingles"), F.col("rep").alias("class_id"), F.coalesce("c", "rep").alias("component_id"))
 
 
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
