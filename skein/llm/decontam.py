@@ -232,5 +232,17 @@ def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
         F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join(names, ","), 256).alias("items_sha256"),
         ((F.col("n_hit") > 0) & (cfg.share * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"),
-        "longest",
     )
+
+
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+#: DuckDB SQL for the rows of op4: windows of every length that items have, joined by their words.
+SQL = f"""with i as (select item_id, {_WORDS} as w from benchmark), n as (select item_id, w, least(13, len(w)) as k from i where len(w) > 0),
+ win as (select distinct item_id, k, array_to_string(w[s:s+k-1], ' ') as g from (select item_id, w, k, unnest(range(1, len(w) - k + 2)) as s from n)),
+ t as (select row_number() over () as rid, doc_id, {_WORDS} as w from documents),
+ f as (select rid, k, s, array_to_string(w[s:s+k-1], ' ') as g from (select rid, w, k, unnest(range(1, len(w) - k + 2)) as s from t, (select distinct k from n) where len(w) >= k)),
+ h as (select rid, f.k, s, item_id from f join win on f.k = win.k and f.g = win.g),
+ p as (select rid, count(distinct q) as n_hit from (select rid, unnest(range(s, s + k)) as q from h) group by 1),
+ m as (select rid, count(*) as n_items, string_agg(x, ',' order by x) as ids from (select distinct rid, item_id::varchar as x from h) group by 1)
+ select doc_id, len(w) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) as contaminated
+ from t left join p using (rid) left join m using (rid)"""

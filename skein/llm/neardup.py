@@ -315,3 +315,15 @@ def near_duplicates(docs: DataFrame, cfg: NearConfig = NearConfig()) -> DataFram
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = near_duplicates(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+
+
+#: DuckDB SQL for the rows of op8: all pairs that share a shingle, and the links' closure.
+SQL = """with recursive t as (select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as w from documents),
+ g as (select distinct doc_id, array_to_string(w[i:i+4], chr(1)) as gram from (select doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) as i from t where len(w) > 0)),
+ n as (select doc_id, count(*) as n from g group by 1),
+ o as (select x.doc_id as a, y.doc_id as b, count(*) as c from g x join g y on x.gram = y.gram and x.doc_id < y.doc_id group by 1, 2),
+ e as (select a, b from o join n p on a = p.doc_id join n q on b = q.doc_id where 100 * c >= 75 * (p.n + q.n - c)),
+ s as (select a as u, b as v from e union select b, a from e),
+ walk as (select doc_id as v, doc_id as c from documents union select s.v, walk.c from walk join s on s.u = walk.v),
+ l as (select v, min(c) as c from walk group by v)
+ select d.doc_id, coalesce(n, 0) as n_shingles, c as component_id, c = d.doc_id as kept from documents d join l on l.v = d.doc_id left join n on n.doc_id = d.doc_id"""

@@ -166,5 +166,24 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         rep.alias("n_repeat_words"),
         failed.alias("base_failed"),
         (F.col("kept") & ~failed).alias("kept"),
-        F.array_join("broken", ",").alias("broken"),
     )
+
+
+def sql(rules: tuple[Rule, ...] = RULES) -> str:
+    """DuckDB SQL for the rows of op5, from the same table of rules."""
+    space = r"[\x20\x09-\x0D]"
+    stop = ", ".join(f"'{w}'" for w in dict.fromkeys(STOP_WORDS))
+    per = lambda a, b: f"case when {b} > 0 then {a} / {b} else 0.0 end"
+    sides = [f"{r.measure} >= {r.low}" for r in rules if r.low is not None] + [f"{r.measure} <= {r.high}" for r in rules if r.high is not None]
+    return f"""with t as (select row_number() over () as rid, doc_id, coalesce(text, '') as t from documents),
+ w as (select rid, doc_id, t, list_filter(regexp_split_to_array(t, '{space}+'), lambda x: x <> '') as w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as l from t),
+ g as (select rid, i, array_to_string(w[i:i+4], chr(1)) as gram from (select rid, w, unnest(range(1, len(w) - 3)) as i from w where len(w) >= 5)),
+ d as (select rid, gram from g group by 1, 2 having count(*) > 1),
+ c as (select rid, count(distinct p)::bigint as n from (select rid, unnest(range(i, i + 5)) as p from g join d using (rid, gram)) group by 1),
+ m as (select rid, doc_id, len(w) as n_words, length(array_to_string(w, '')) as word_chars, len(regexp_extract_all(t, '[{SYMBOLS}]')) as n_symbols, len(l) - len(list_distinct(l)) as n_dup_lines, coalesce(c.n, 0) as n_repeat_words,
+  len(l) as n_lines, len(list_filter(l, lambda x: len(regexp_extract_all(x, '[|]')) >= 2)) as n_pipe_lines, len(list_filter(w, lambda x: x in ({stop}) or lower(x) in ({stop}))) as n_stop,
+  length(regexp_replace(t, '[^A-Za-z]+', '', 'g')) as n_letters, length(regexp_replace(t, '[^A-Z]+', '', 'g')) as n_capitals, len(list_filter(range(2, len(w) + 1), lambda i: w[i] = w[i - 1])) as n_stutter from w left join c using (rid)),
+ r as (select *, {per("n_repeat_words", "n_words")} as repeat_ratio, {per("word_chars", "n_words")} as mean_word_chars, {per("n_symbols", "n_words")} as symbol_ratio, {per("n_pipe_lines", "n_lines")} as pipe_line_ratio,
+  case when n_words < 30 then 1.0 else {per("n_stop", "n_words")} end as stop_ratio, {per("n_dup_lines", "n_lines")} as dup_line_ratio, {per("n_capitals", "n_letters")} as shout_ratio, {per("n_stutter", "n_words")} as stutter_ratio,
+  n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed from m)
+ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and {" and ".join(sides)} as kept from r"""

@@ -234,3 +234,10 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = read_archives(archives)
     sound = F.when(F.col("error").isNull(), F.col("page_id")).otherwise(F.raise_error(F.concat(F.lit("archive "), "name", F.lit(": "), "error")).cast("long"))
     return read.select(sound.alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+#: DuckDB SQL for the rows of op9.
+SQL = """with p as (select page_id, coalesce(html, '') as h from pages), k as (select page_id, strlen(h) as payload_bytes, sha1(h) as payload_digest from p),
+ m as (select payload_digest, payload_bytes, max(page_id) as last from k where payload_bytes >= 1000 group by 1, 2)
+ select k.page_id, k.payload_bytes, k.payload_digest, case when k.page_id <> last then 'revisit' else 'response' end as record_type, case when k.page_id <> last then last end as refers_to
+ from k left join m using (payload_digest, payload_bytes)"""
