@@ -1,14 +1,17 @@
 """Language-model scores: a causal self-attention model over subword ids, beside whole-corpus counts.
 
 Words (runs without ASCII white space, A-Z in lower case) are cut into subword ids, each with a leading
-space. The model predicts each id from the ids before it. A class of the next id comes from one head of
-masked self-attention over a window; the id within its class from counts over all training documents.
-Mixed with it, by a learnt gate, is a count channel: the bucket of the next id given the bucket of the
-last, from all training documents too. Both channels are distributions, so scores are log-probabilities.
+space. The model predicts each id from the ids before it, in three factors: the class of the next id,
+its bucket within the class, and the id within its bucket. The last two are counts over all training
+documents, of buckets after buckets and of ids. The class is a softmax of two terms: the log of its
+count-based probability after the last bucket, and what one head of masked self-attention over a window
+of context adds. Classes are clusters of buckets that occur after the same buckets, found in the counts,
+so context can shift whole groups of ids, as those of a language. Every factor is a distribution, so
+scores are log-probabilities, and the model starts from what counts alone give.
 
 Training documents are all whose hash remainder isn't the held-out one. Counts are gathered by
-partial sums and grow with the input. The network's weights come from one window of every training
-document: tasks take gradient steps on their own windows from the same start, and their weights are
+partial sums and grow with the input. The network's weights come from windows of every training
+document, in proportion to its length: tasks take gradient steps on their own windows from the same start, and their weights are
 averaged by the windows seen, for ``rounds`` rounds.
 
 Scoring cuts each text into windows of ``2 * stride`` ids that overlap by half; the later half is scored,
@@ -25,6 +28,7 @@ and the base score is 0. Repeated rows are scored each; columns other than doc_i
 from __future__ import annotations
 
 import base64
+import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -37,22 +41,25 @@ from . import hashing
 from .common import cut, ship, table
 
 END = np.uint64(0)  # stands for the end token among word hashes
+_PLACE = np.array([1, 1 << 12, 1 << 24, 1 << 36], dtype=np.uint64)
+_ODD = re.compile(r"[^\S ]")
 
 
 @dataclass(frozen=True)
 class LmConfig:
     modulus: int = 7
     left_out: int = 2
-    frequent: int = 500_000  # words sent to tasks at most (6 MB)
+    frequent: int = 2_000_000  # words sent to tasks at most (32 MB)
     buckets: int = 1024  # ids that share an embedding: the most frequent alone, the rest by remainder
     alone: int = 896
     classes: int = 64
     dim: int = 16
     stride: int = 16
-    rounds: int = 3
+    share: int = 48  # of a document's further windows, one in so many is trained on
+    rounds: int = 2
     steps_of: int = 128  # windows in a gradient step
     rate: float = 0.02
-    cache: int = 1_500_000  # words whose ids a worker remembers
+    cache: int = 1_000_000  # words whose ids a worker remembers
     tokenizer: str | None = None  # a ranks file of the tiktoken library; None: the public byte_bpe_50k
 
 
@@ -71,6 +78,7 @@ class Subwords:
         self.n = len(ranks) + 1
         self.end = len(ranks)  # the id that is free
         self.code = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.spaced = np.array([t[:1] == b" " for t, _ in sorted(ranks.items(), key=lambda x: x[1])] + [False])
         self.most = most
         self.forget()
 
@@ -79,8 +87,7 @@ class Subwords:
         self.at, self.size, self.used, self.fill = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), 0, 0
         self.pool = np.zeros(1 << 18, np.uint16)
 
-    def encode(self, raw: bytes) -> list[int]:
-        word = raw.decode()
+    def encode(self, word: str) -> list[int]:
         if len(word) <= 400:
             return self.code.encode_ordinary(f" {word}")
         out: list[int] = []  # the merge of one very long word takes time with its square
@@ -88,30 +95,50 @@ class Subwords:
             out += self.code.encode_ordinary((" " if k == 0 else "") + word[k : k + 400])
         return out
 
-    def learn(self, h: int, raw: bytes) -> int:
-        ids = self.encode(raw)
-        if self.used == len(self.at):
-            self.at, self.size = np.resize(self.at, 2 * self.used), np.resize(self.size, 2 * self.used)
+    def encode_all(self, raw: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words that lie in ``raw``, each after a space, and how many each has.
+
+        Words don't hold spaces and ids don't cross them, so one call encodes all; an id that begins
+        with a space begins a word. Words with other white space, or very long ones, are encoded alone.
+        """
+        text = raw.tobytes().decode()
+        if int(size.max()) <= 400 and not _ODD.search(text):
+            ids = np.asarray(self.code.encode_to_numpy(text, disallowed_special=()))
+            at = np.flatnonzero(self.spaced[ids])
+            if len(at) == len(size):
+                return ids, np.diff(np.append(at, len(ids)))
+        each = [self.encode(w) for w in text[1:].split(" ")]
+        return np.array([i for e in each for i in e], dtype=np.int64), np.array([len(e) for e in each])
+
+    def learn(self, hashes: np.ndarray, start: np.ndarray, end: np.ndarray, data: np.ndarray) -> None:
+        size = end - start
+        total = np.concatenate([[0], np.cumsum(size + 1)])
+        raw = np.full(total[-1], 32, dtype=np.uint8)
+        place = np.arange(int(size.sum())) - np.repeat(total[:-1] - np.arange(len(size)), size)
+        raw[np.repeat(total[:-1] + 1, size) + place] = hashing.LOWER[data[np.repeat(start, size) + place]]
+        ids, n = self.encode_all(raw, size)
+        k = len(size)
+        while self.used + k > len(self.at):
+            self.at, self.size = np.resize(self.at, 2 * len(self.at)), np.resize(self.size, 2 * len(self.size))
         while self.fill + len(ids) > len(self.pool):
             self.pool = np.resize(self.pool, 2 * len(self.pool))
         self.pool[self.fill : self.fill + len(ids)] = ids
-        self.at[self.used], self.size[self.used] = self.fill, len(ids)
+        self.at[self.used : self.used + k] = self.fill + np.cumsum(n) - n
+        self.size[self.used : self.used + k] = n
+        self.slot.update(zip(hashes.tolist(), range(self.used, self.used + k), strict=True))
         self.fill += len(ids)
-        self.slot[h] = self.used
-        self.used += 1
-        return self.used - 1
+        self.used += k
 
     def ids(self, w: hashing.Words, data: np.ndarray, unique: np.ndarray, where: np.ndarray, back: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of a block's words, and how many each text has. unique, where, back: as np.unique gives them."""
+        """All ids of a block's words, and how many each text has. unique, where, back: of ``distinct``."""
         if self.used > self.most:
             self.forget()
-        get, slots = self.slot.get, np.empty(len(unique), dtype=np.int64)
-        for k, h in enumerate(unique.tolist()):
-            s = get(h)
-            if s is None:
-                i = where[k]
-                s = self.learn(h, hashing.LOWER[data[w.start[i] : w.end[i]]].tobytes())
-            slots[k] = s
+        get = self.slot.get
+        slots = np.array([get(h, -1) for h in unique.tolist()], dtype=np.int64)
+        new = np.flatnonzero(slots < 0)
+        if len(new):
+            slots[new] = self.used + np.arange(len(new))
+            self.learn(unique[new], w.start[where[new]], w.end[where[new]], data)
         of = slots[back]
         n = self.size[of]
         total = np.concatenate([[0], np.cumsum(n)])
@@ -119,6 +146,18 @@ class Subwords:
         return flat, np.diff(total[w.first])
 
 
+def distinct(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct values, a place of each, which of them every element is, and how often each occurs."""
+    order = np.argsort(h)
+    s = h[order]
+    first = np.ones(len(s), dtype=bool)
+    first[1:] = s[1:] != s[:-1]
+    at = np.flatnonzero(first)
+    back = np.empty(len(s), dtype=np.int64)
+    back[order] = np.cumsum(first) - 1
+    return s[at], order[at], back, np.diff(np.append(at, len(s)))
+
+
 _SUBWORDS: dict[tuple, Subwords] = {}
 
 
@@ -152,8 +191,11 @@ class Sums:
     def merged(self) -> tuple[np.ndarray, np.ndarray]:
         if not self.parts:
             return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        keys, back = np.unique(np.concatenate([k for k, _ in self.parts]), return_inverse=True)
-        return keys, np.bincount(back, np.concatenate([n for _, n in self.parts]), len(keys)).astype(np.int64)
+        keys, n = np.concatenate([k for k, _ in self.parts]), np.concatenate([n for _, n in self.parts])
+        order = np.argsort(keys)
+        keys, n = keys[order], n[order]
+        at = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        return keys[at], np.add.reduceat(n, at)
 
 
 def count_batches(kind: int, keys: np.ndarray, n: np.ndarray):
@@ -171,7 +213,7 @@ def counted(docs: DataFrame, cfg: LmConfig) -> DataFrame:
         for batch in batches:
             for _, _, data, off in hashing.blocks(batch.column(0)):
                 w = hashing.words(data, off)
-                unique, where, back, n = np.unique(w.hash, return_index=True, return_inverse=True, return_counts=True)
+                unique, where, back, n = distinct(w.hash)
                 words_.add(unique, n)
                 flat, _ = code.ids(w, data, unique, where, back)
                 ids_ += np.bincount(flat, minlength=code.n)
@@ -189,7 +231,7 @@ def counted(docs: DataFrame, cfg: LmConfig) -> DataFrame:
 
 
 class Channels:
-    """What counts give: buckets and classes of ids, and the log-probabilities of ids within them."""
+    """What counts of ids give: their buckets, and the probability of each within its bucket."""
 
     def __init__(self, counts: np.ndarray, cfg: LmConfig):
         n = len(counts)
@@ -198,24 +240,43 @@ class Channels:
         self.bucket[order[: cfg.alone]] = np.arange(min(cfg.alone, n))
         rest = order[cfg.alone :]
         self.bucket[rest] = cfg.alone + rest % (cfg.buckets - cfg.alone)
-        mass = np.cumsum(counts[order] + 1.0)
-        self.cls = np.empty(n, np.int32)
-        self.cls[order] = np.minimum((mass - (counts[order] + 1.0)) / mass[-1] * cfg.classes, cfg.classes - 1).astype(np.int32)
         smooth = counts + 1e-2
         self.in_bucket = (smooth / np.bincount(self.bucket, smooth, cfg.buckets)[self.bucket]).astype(np.float32)
-        self.in_class = (smooth / np.bincount(self.cls, smooth, cfg.classes)[self.cls]).astype(np.float32)
         self.unigram = np.bincount(self.bucket, smooth, cfg.buckets) / smooth.sum()
 
-    def follow(self, pairs: np.ndarray) -> np.ndarray:
-        """P(bucket | last bucket), a row for each last one, with the unigram as 32 further counts."""
-        return ((pairs + 32 * self.unigram) / (pairs.sum(1, keepdims=True) + 32)).astype(np.float32)
+
+class Follow:
+    """What counts of bucket pairs give: the classes of buckets, of the class after a bucket, of the bucket in it."""
+
+    def __init__(self, pairs: np.ndarray, unigram: np.ndarray, cfg: LmConfig):
+        after = (pairs + 32 * unigram) / (pairs.sum(1, keepdims=True) + 32)  # the unigram as 32 further counts
+        self.cls = clustered(after, unigram, cfg.classes)
+        of = np.zeros((cfg.buckets, cfg.classes))
+        of[np.arange(cfg.buckets), self.cls] = 1
+        self.prior = np.maximum(after @ of, 1e-12).astype(np.float32)  # class after bucket
+        self.within = (after / self.prior[:, self.cls]).astype(np.float32)  # bucket in its class, after bucket
+
+
+def clustered(after: np.ndarray, unigram: np.ndarray, k: int) -> np.ndarray:
+    """Buckets in ``k`` classes of those that are likely after the same buckets: k-means on leading directions."""
+    lift = np.log1p(after / np.maximum(unigram, 1e-12)[None, :]) * np.sqrt(unigram)[:, None]
+    _, size, right = np.linalg.svd(lift, full_matrices=False)
+    x = (right[:12] * size[:12, None]).T
+    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+    centre = x[np.argsort(-unigram, kind="stable")[:k]].copy()
+    for _ in range(15):
+        at = (x @ centre.T - (centre**2).sum(1) / 2).argmax(1)
+        n = np.bincount(at, minlength=k)
+        total = np.stack([np.bincount(at, x[:, j], k) for j in range(x.shape[1])], axis=1)
+        centre[n > 0] = total[n > 0] / n[n > 0, None]
+    return at
 
 
 def start_weights(cfg: LmConfig) -> dict[str, np.ndarray]:
     r = np.random.default_rng(5)
     small = lambda *shape: (r.standard_normal(shape) * 0.1).astype(np.float32)
     b, d, c = cfg.buckets + 1, cfg.dim, cfg.classes
-    return {"eq": small(b, d), "ek": small(b, d), "ev": small(b, d), "er": small(b, d), "u": small(d, c), "c": np.zeros(c, np.float32), "near": np.zeros(2 * cfg.stride, np.float32), "g": np.zeros(b, np.float32)}
+    return {"eq": small(b, d), "ek": small(b, d), "ev": small(b, d), "er": small(b, d), "u": np.zeros((d, c), np.float32), "c": np.zeros(c, np.float32), "near": np.zeros(2 * cfg.stride, np.float32)}
 
 
 def chunks(flat: np.ndarray, n: np.ndarray, bucket: np.ndarray, end: int, cfg: LmConfig) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -264,37 +325,20 @@ def attend(p: dict, u: np.ndarray, cfg: LmConfig) -> tuple[np.ndarray, np.ndarra
     return w, np.matmul(w, p["ev"][u]) + p["er"][u[:, s:]]
 
 
-def probabilities(p: dict, ch: Channels, follow: np.ndarray, u: np.ndarray, target: np.ndarray, cfg: LmConfig):
-    """(gate, count channel, attention channel, what training needs) for the flat places that have a target."""
+def gradient(p: dict, ch: Channels, follow: Follow, u: np.ndarray, target: np.ndarray, cfg: LmConfig) -> dict[str, np.ndarray]:
+    """The gradient of the mean log-probability of the targets' classes; the other factors have no weights."""
+    s, d = cfg.stride, cfg.dim
     w, h = attend(p, u, cfg)
     on = np.flatnonzero(target.ravel() >= 0)
-    t = target.ravel()[on]
-    last = u[:, cfg.stride :].ravel()[on]
-    hidden = h.reshape(-1, cfg.dim)[on]
-    z = hidden @ p["u"]
-    z += p["c"]
+    cls = follow.cls[ch.bucket[target.ravel()[on]]]
+    hidden = h.reshape(-1, d)[on]
+    z = hidden @ p["u"] + p["c"] + np.log(follow.prior[u[:, s:].ravel()[on]])
     z -= z.max(axis=1, keepdims=True)
     np.exp(z, out=z)
-    z /= z.sum(axis=1, keepdims=True)
-    cls = ch.cls[t]
-    attention = z[np.arange(len(t)), cls] * ch.in_class[t]
-    counts = follow[last, ch.bucket[t]] * ch.in_bucket[t]
-    gate = 1 / (1 + np.exp(-p["g"][last]))
-    return gate, counts, attention, (w, on, t, last, hidden, z, cls)
-
-
-def gradient(p: dict, ch: Channels, follow: np.ndarray, u: np.ndarray, target: np.ndarray, cfg: LmConfig) -> dict[str, np.ndarray]:
-    """The gradient of the mean log-probability of the targets."""
-    s, d = cfg.stride, cfg.dim
-    gate, counts, attention, (w, on, t, last, hidden, z, cls) = probabilities(p, ch, follow, u, target, cfg)
-    whole = gate * counts + (1 - gate) * attention
-    share = (1 - gate) * attention / np.maximum(whole, 1e-30)  # the attention channel's part of each target
-    scale = 1.0 / max(len(t), 1)
+    dz = -z / z.sum(axis=1, keepdims=True)
+    dz[np.arange(len(on)), cls] += 1
+    dz *= 1.0 / max(len(on), 1)
     g = {k: np.zeros_like(v) for k, v in p.items()}
-    dz = -z * share[:, None]
-    dz[np.arange(len(t)), cls] += share
-    dz *= scale
-    np.add.at(g["g"], last, (1 - share - gate) * scale)
     g["u"], g["c"] = hidden.T @ dz, dz.sum(0)
     dh = np.zeros((u.shape[0] * s, d), np.float32)
     dh[on] = dz @ p["u"].T
@@ -310,7 +354,7 @@ def gradient(p: dict, ch: Channels, follow: np.ndarray, u: np.ndarray, target: n
     return g
 
 
-def climb(p: dict, ch: Channels, follow: np.ndarray, u: np.ndarray, target: np.ndarray, cfg: LmConfig) -> dict:
+def climb(p: dict, ch: Channels, follow: Follow, u: np.ndarray, target: np.ndarray, cfg: LmConfig) -> dict:
     """Adam steps over the windows, in their order."""
     p = {k: v.copy() for k, v in p.items()}
     m, v = ({k: np.zeros_like(x) for k, x in p.items()} for _ in range(2))
@@ -324,24 +368,28 @@ def climb(p: dict, ch: Channels, follow: np.ndarray, u: np.ndarray, target: np.n
 
 
 def windows(docs: DataFrame, shared, cfg: LmConfig) -> DataFrame:
-    """kind 2: counts of bucket pairs; kind 3: one window of each training document, at a place its hash gives."""
+    """kind 2: counts of bucket pairs; kind 3: windows to train on, the first of each
+    training document and a share of the others that a hash of their own ids picks."""
 
     def run(batches):
         code, ch = subwords(cfg), shared.value
-        pairs = np.zeros(cfg.buckets * cfg.buckets, dtype=np.int64)
+        pairs, waiting = np.zeros(cfg.buckets * cfg.buckets, dtype=np.int64), []
         for batch in batches:
             for _, _, data, off in hashing.blocks(batch.column(0)):
                 w = hashing.words(data, off)
-                unique, where, back = np.unique(w.hash, return_index=True, return_inverse=True)
+                unique, where, back, _ = distinct(w.hash)
                 flat, n = code.ids(w, data, unique, where, back)
                 u, target, text = chunks(flat, n, ch.bucket, code.end, cfg)
                 on = target >= 0
-                pairs += np.bincount(u[:, cfg.stride :][on].astype(np.int64) * cfg.buckets + ch.bucket[target[on]], minlength=len(pairs))
-                first = np.searchsorted(text, np.arange(len(n)))
-                size = np.diff(np.append(first, len(text)))
-                some = first + (hashing.mix(n.astype(np.uint64) + np.arange(len(n), dtype=np.uint64)) % size.astype(np.uint64)).astype(np.int64)
-                raw = [x.tobytes() for x in np.concatenate([u[some], target[some]], axis=1).astype("<i4")]
+                waiting.append(u[:, cfg.stride :][on] * np.int32(cfg.buckets) + ch.bucket[target[on]])
+                if len(waiting) == 16:
+                    pairs += np.bincount(np.concatenate(waiting), minlength=len(pairs))
+                    waiting = []
+                some = np.flatnonzero((np.diff(text, prepend=-1) > 0) | (hashing.mix(u[:, -4:].astype(np.uint64) @ _PLACE) % np.uint64(cfg.share) == 0))
+                raw = [x.tobytes() for x in np.concatenate([u[some], target[some]], axis=1).astype("<u2")]
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(raw), 3, np.int32)), pa.nulls(len(raw), pa.int64()), pa.nulls(len(raw), pa.int64()), pa.array(raw, pa.binary())], ["kind", "key", "n", "w"])
+        if waiting:
+            pairs += np.bincount(np.concatenate(waiting), minlength=len(pairs))
         keys = np.flatnonzero(pairs)
         for b in count_batches(2, keys.astype(np.uint64), pairs[keys]):
             yield pa.RecordBatch.from_arrays([*b.columns, pa.nulls(b.num_rows, pa.binary())], ["kind", "key", "n", "w"])
@@ -355,9 +403,10 @@ def averaged(seen: DataFrame, shared, weights: dict, cfg: LmConfig) -> dict:
     sent = seen.sparkSession.sparkContext.broadcast(weights)
 
     def run(batches):
-        rows = [np.frombuffer(x.as_py(), dtype="<i4") for b in batches for x in b.column(0)]
+        rows = [np.frombuffer(x.as_py(), dtype="<u2") for b in batches for x in b.column(0)]
         if rows:
-            every = np.stack(rows)
+            every = np.stack(rows).astype(np.int32)
+            every[every == 65535] = -1
             ch, follow = shared.value
             p = climb(sent.value, ch, follow, every[:, : 2 * cfg.stride], every[:, 2 * cfg.stride :], cfg)
             flat = np.concatenate([p[k].ravel() for k in names]).astype(np.float64) * len(rows)
@@ -380,7 +429,7 @@ class Model:
     """All that scoring needs. ``words`` and ``counts``: the frequent words' hashes, sorted, and counts."""
 
     channels: Channels
-    follow: np.ndarray
+    follow: Follow
     weights: dict
     words: np.ndarray
     counts: np.ndarray
@@ -405,23 +454,62 @@ def train(docs: DataFrame, cfg: LmConfig) -> tuple[Model, DataFrame]:
     got = seen.filter("kind = 2").groupBy("key").agg(F.sum("n").alias("n")).toArrow()  # buckets squared at most
     pairs = np.zeros(cfg.buckets * cfg.buckets)
     pairs[np.asarray(got.column("key"))] = np.asarray(got.column("n"))
-    follow = channels.follow(pairs.reshape(cfg.buckets, cfg.buckets))
+    follow = Follow(pairs.reshape(cfg.buckets, cfg.buckets), channels.unigram, cfg)
     shared, weights = sc.broadcast((channels, follow)), start_weights(cfg)
     for _ in range(cfg.rounds):
         weights = averaged(seen.filter("kind = 3"), shared, weights, cfg)
     return Model(channels, follow, weights, key[order], c[order], int(n), int(v)), words_
 
 
-def score_texts(m: Model, flat: np.ndarray, n: np.ndarray, end: int, cfg: LmConfig, batch: int = 2048) -> np.ndarray:
-    """log10 of each text's probability."""
-    u, target, text = chunks(flat, n, m.channels.bucket, end, cfg)
-    out = np.zeros(len(n))
-    for a in range(0, len(u), batch):
-        t = target[a : a + batch]
-        gate, counts, attention, (_, on, *_) = probabilities(m.weights, m.channels, m.follow, u[a : a + batch], t, cfg)
-        p = np.log10(np.maximum(gate * counts + (1 - gate) * attention, 1e-30), dtype=np.float64)
-        out += np.bincount(text[a : a + batch][on // cfg.stride], p, len(n))
-    return out
+class Scorer:
+    """The trained model laid out for scoring: the weights of attention between buckets are one table.
+
+    exp(q.k) of every two buckets is computed once, 0 where either is none, and the term for distance
+    and the causal mask are one matrix, so a batch's attention is a look-up, a product and a sum.
+    """
+
+    def __init__(self, m: Model, cfg: LmConfig):
+        p, s = m.weights, cfg.stride
+        self.m, self.cfg = m, cfg
+        table = np.exp(np.clip(p["eq"] @ p["ek"].T * np.float32(cfg.dim**-0.5), -30, 30))
+        table[-1, :] = table[:, -1] = 0
+        self.table, self.wide = np.ascontiguousarray(table, dtype=np.float32).ravel(), cfg.buckets + 1
+        far = np.clip(np.arange(s)[:, None] + s - np.arange(2 * s)[None, :], 0, 2 * s - 1)
+        self.mask = np.where(causal(cfg), np.exp(np.clip(p["near"], -30, 30))[far], 0).astype(np.float32)
+        self.values = np.concatenate([p["ev"], np.ones((self.wide, 1), np.float32)], axis=1)  # and the weights' sum
+        self.prior, self.within = m.follow.prior, m.follow.within.ravel()
+        self.cls = m.follow.cls[m.channels.bucket].astype(np.int32)  # of ids
+
+    def logs(self, u: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """log10 of the probability of every target, and their flat places."""
+        p, ch, s = self.m.weights, self.m.channels, self.cfg.stride
+        u = u.astype(np.intp)
+        last = u[:, s:]
+        w = self.table.take((last * self.wide)[:, :, None] + u[:, None, :])
+        w *= self.mask
+        h = np.matmul(w, self.values.take(u, axis=0))
+        h = h[:, :, :-1] / np.maximum(h[:, :, -1:], 1e-30) + p["er"].take(last, axis=0)
+        z = h.reshape(-1, self.cfg.dim) @ p["u"]
+        z += p["c"]
+        if z.max(initial=0) > 60:
+            z -= z.max(axis=1, keepdims=True)
+        np.exp(z, out=z)
+        z *= self.prior.take(np.minimum(last, self.cfg.buckets - 1).ravel(), axis=0)  # no last bucket: no target
+        on = np.flatnonzero(target.ravel() >= 0)
+        t, before = target.ravel()[on], last.ravel()[on]
+        x = z.ravel()[on * z.shape[1] + self.cls[t]] / z.sum(axis=1)[on]
+        x *= self.within.take(before * self.cfg.buckets + ch.bucket[t])
+        x *= ch.in_bucket[t]
+        return np.log10(np.maximum(x, 1e-30)), on
+
+    def texts(self, flat: np.ndarray, n: np.ndarray, end: int, batch: int = 512) -> np.ndarray:
+        """log10 of each text's probability."""
+        u, target, text = chunks(flat, n, self.m.channels.bucket, end, self.cfg)
+        out = np.zeros(len(n))
+        for a in range(0, len(u), batch):
+            p, on = self.logs(u[a : a + batch], target[a : a + batch])
+            out += np.bincount(text[a : a + batch][on // self.cfg.stride], p, len(n))
+        return out
 
 
 def scored(docs: DataFrame, cfg: LmConfig = LmConfig()) -> DataFrame:
@@ -433,6 +521,7 @@ def scored(docs: DataFrame, cfg: LmConfig = LmConfig()) -> DataFrame:
 
     def run(batches):
         m, code, done = shared.value, subwords(cfg), 0
+        scorer = Scorer(m, cfg)
         row = TaskContext.get().partitionId() << 40
         value = np.log10((m.counts + 1.0) / (m.n + m.v + 1))
         end_at = int(np.searchsorted(m.words, END))
@@ -440,7 +529,7 @@ def scored(docs: DataFrame, cfg: LmConfig = LmConfig()) -> DataFrame:
         for b in batches:
             for i, j, data, off in hashing.blocks(b.column(1)):
                 w = hashing.words(data, off)
-                unique, where, back = np.unique(w.hash, return_index=True, return_inverse=True)
+                unique, where, back, _ = distinct(w.hash)
                 at = np.minimum(np.searchsorted(m.words, unique), max(len(m.words) - 1, 0))
                 often = m.words[at] == unique if len(m.words) else np.zeros(len(unique), bool)
                 each = np.where(often, value[at] if len(value) else 0.0, 0.0)[back]
@@ -457,7 +546,7 @@ def scored(docs: DataFrame, cfg: LmConfig = LmConfig()) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(row + done + np.arange(j - i)), b.column(0).slice(i, j - i).cast(pa.int64()), pa.array(size + 1), pa.array(known.astype(np.int64)),
-                        pa.array(base), pa.array(score_texts(m, flat, n, code.end, cfg)), left, pa.array(np.full(j - i, not end_known)),
+                        pa.array(base), pa.array(scorer.texts(flat, n, code.end)), left, pa.array(np.full(j - i, not end_known)),
                     ],
                     ["row", "doc_id", "n_tokens", "known", "base", "score", "rare", "end_rare"],
                 )
