@@ -250,7 +250,7 @@ def decode(nodes: list[Node], odds: np.ndarray, weight: np.ndarray, bound: np.nd
     best = np.zeros((n, 3))  # outside, inside, dropped
     best[:, 1] = gain
     choice = np.zeros((n, 2), dtype=np.int8)
-    enter, leave = -0.5, -0.5
+    enter, leave = -3.0, -0.5  # an entry has to be worth more than one weak element
     for i in range(n - 1, 0, -1):
         p = nodes[i].parent.index
         o, k, d = best[i]

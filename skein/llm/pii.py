@@ -10,7 +10,7 @@ the data) and compiled into one expression, so that the texts see built-in funct
 on the executors. The patterns take time linear in the text, long runs included.
 
 Null texts are empty and have no spans. Positions are code points, ends exclusive. Repeated rows are
-judged each; extra columns are not read, or pass through ``redact`` unchanged.
+judged each; extra columns are not read, or pass through ``redact`` unchanged, whatever their names.
 """
 
 from __future__ import annotations
@@ -265,9 +265,9 @@ def added_spans(text: Column, base: Column, model: gbt.Gbt, cut: dict[int, float
 def detect(docs: DataFrame, cfg: PiiConfig = PiiConfig(), text: str = "text") -> DataFrame:
     """``docs`` with ``_base`` and ``_spans``: arrays of (s, k, e, v), k an index of KINDS, by start and kind."""
     model, cut = trained(docs.sparkSession, cfg)
-    t = F.col("_t")
-    out = docs.withColumn("_t", F.coalesce(docs[text], F.lit(""))).withColumn("_base", base_spans(t))
-    return out.withColumn("_spans", F.array_sort(F.concat("_base", added_spans(t, F.col("_base"), model, cut)))).drop("_t")
+    t = F.col("_skein_t")
+    out = docs.withColumn("_skein_t", F.coalesce(docs[text], F.lit(""))).withColumn("_base", base_spans(t))
+    return out.withColumn("_spans", F.array_sort(F.concat("_base", added_spans(t, F.col("_base"), model, cut)))).drop("_skein_t")
 
 
 def redact(docs: DataFrame, cfg: PiiConfig = PiiConfig()) -> DataFrame:
@@ -294,12 +294,20 @@ def redact(docs: DataFrame, cfg: PiiConfig = PiiConfig()) -> DataFrame:
             ),
         )
 
-    seen = detect(docs, cfg)
+    seen = detect(docs.select("text", F.struct(*[docs[c] for c in docs.columns]).alias("row")), cfg)
     clean = F.when(F.size("_spans") > 0, let(F.struct(F.col("_spans").alias("p"), F.col("text").alias("t")), cutout)).otherwise(F.col("text"))
-    out = seen.withColumn("text", clean)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.size("_spans") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+    out = seen.withColumn("clean", clean)
+    found = F.size("_spans") > 0
+
+    def column(c: str) -> Column:
+        own = F.col("row").getField(c)
+        if c == "text":
+            return F.col("clean").alias(c)
+        if c == "n_chars":
+            return F.when(found, F.length("clean").cast(docs.schema[c].dataType)).otherwise(own).alias(c)
+        return own.alias(c)
+
+    return out.select(*[column(c) for c in docs.columns])
 
 
 def joined(spans: Column) -> Column:

@@ -184,13 +184,16 @@ def fit(x: np.ndarray, y: np.ndarray, cfg: GamConfig = GamConfig()) -> Gam:
             shape = t.shape
             k = small[i] * shape[1] + small[j]
             gg, hh = np.bincount(k, g, t.size).reshape(shape), np.bincount(k, h, t.size).reshape(shape)
-            # one split along i, then one along j on either side: a tree of depth two
-            top = step(gg.sum(1), hh.sum(1), cfg.ridge, 2)
-            side = int(np.flatnonzero(np.diff(top))[0]) + 1 if np.any(np.diff(top)) else shape[0]
-            add = np.zeros(shape)
-            for a, b in ((0, side), (side, shape[0])):
-                if b > a:
-                    add[a:b] = step(gg[a:b].sum(0), hh[a:b].sum(0), cfg.ridge, 2)
+            # a tree of depth two: the split along i after which splits along j on either side gain most
+            best, add = -1.0, np.zeros(shape)
+            for side in range(1, shape[0]):
+                own, won = np.empty(shape), 0.0
+                for part in (slice(0, side), slice(side, shape[0])):
+                    g1, h1 = gg[part].sum(0), hh[part].sum(0)
+                    own[part] = v = step(g1, h1, cfg.ridge, 2)
+                    won += float((v * g1 - v * v * (h1 + cfg.ridge / shape[1]) / 2).sum())
+                if won > best:
+                    best, add = won, own
             t += cfg.rate * add
             z += cfg.rate * add.ravel()[k]
     return Gam(base, cuts, tables, pairs)

@@ -98,29 +98,29 @@ def measures(df: DataFrame, text: str = "text") -> DataFrame:
     """``df`` with a struct ``_m`` of counts and ratios of each text."""
     t = F.coalesce(df[text], F.lit(""))
     letters = F.length(F.regexp_replace(t, r"[^A-Za-z]+", ""))
-    first = df.withColumns({"_t": t, "_w": words_of(df[text]), "_l": F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))})
+    first = df.withColumns({"_skein_t": t, "_skein_w": words_of(df[text]), "_skein_l": F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))})
     counted = first.withColumn(
-        "_c",
+        "_skein_c",
         F.struct(
-            F.size("_w").cast("long").alias("n_words"),
-            F.length(F.array_join("_w", "")).cast("long").alias("word_chars"),
-            F.regexp_count("_t", F.lit(f"[{SYMBOLS}]")).cast("long").alias("n_symbols"),
-            (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines"),
-            repeated_words(F.col("_w")).cast("long").alias("n_repeat_words"),
-            F.size("_l").alias("n_lines"),
-            F.size(F.filter("_l", lambda x: F.regexp_count(x, F.lit(r"\|")) >= 2)).alias("n_pipe_lines"),
-            F.size(F.filter("_w", lambda w: w.isin(STOP_WORDS) | F.lower(w).isin(STOP_WORDS))).alias("n_stop"),
+            F.size("_skein_w").cast("long").alias("n_words"),
+            F.length(F.array_join("_skein_w", "")).cast("long").alias("word_chars"),
+            F.regexp_count("_skein_t", F.lit(f"[{SYMBOLS}]")).cast("long").alias("n_symbols"),
+            (F.size("_skein_l") - F.size(F.array_distinct("_skein_l"))).cast("long").alias("n_dup_lines"),
+            repeated_words(F.col("_skein_w")).cast("long").alias("n_repeat_words"),
+            F.size("_skein_l").alias("n_lines"),
+            F.size(F.filter("_skein_l", lambda x: F.regexp_count(x, F.lit(r"\|")) >= 2)).alias("n_pipe_lines"),
+            F.size(F.filter("_skein_w", lambda w: w.isin(STOP_WORDS) | F.lower(w).isin(STOP_WORDS))).alias("n_stop"),
             letters.alias("n_letters"),
-            F.length(F.regexp_replace("_t", r"[^A-Z]+", "")).alias("n_capitals"),
-            let(F.col("_w"), lambda w: F.size(F.filter(w, lambda x, i: F.coalesce(F.get(w, i - 1) == x, F.lit(False))))).alias("n_stutter"),
+            F.length(F.regexp_replace("_skein_t", r"[^A-Z]+", "")).alias("n_capitals"),
+            let(F.col("_skein_w"), lambda w: F.size(F.filter(w, lambda x, i: F.coalesce(F.get(w, i - 1) == x, F.lit(False))))).alias("n_stutter"),
         ),
     )
-    c = lambda k: F.col(f"_c.{k}")
+    c = lambda k: F.col(f"_skein_c.{k}")
     per = lambda a, b: F.when(b > 0, a / b).otherwise(F.lit(0.0))
     return counted.withColumn(
         "_m",
         F.struct(
-            F.col("_c.*"),
+            F.col("_skein_c.*"),
             per(c("n_repeat_words"), c("n_words")).alias("repeat_ratio"),
             per(c("word_chars"), c("n_words")).alias("mean_word_chars"),
             per(c("n_symbols"), c("n_words")).alias("symbol_ratio"),
@@ -131,7 +131,7 @@ def measures(df: DataFrame, text: str = "text") -> DataFrame:
             per(c("n_capitals"), c("n_letters")).alias("shout_ratio"),
             per(c("n_stutter"), c("n_words")).alias("stutter_ratio"),
         ),
-    ).drop("_t", "_w", "_l", "_c")
+    ).drop("_skein_t", "_skein_w", "_skein_l", "_skein_c")
 
 
 def compiled(rules: tuple[Rule, ...] = RULES) -> Column:
