@@ -14,6 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text handled at a time in a Python worker (one longer text is handled alone).
 BLOCK_BYTES = 1 << 20
+#: Bytes of an Arrow batch between the JVM and Python, where the session has no size of its own.
+BATCH_BYTES = 8 << 20
+BATCH_KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,8 +45,14 @@ def cut(df: DataFrame, tag: str, by: tuple[str, ...] = ()) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the Python workers, once for each Spark context."""
+    """Send this package to the Python workers, once for each Spark context, and keep Arrow batches small.
+
+    Batches of whole texts are held several times over (in the JVM, in the pipe and in Python), so a
+    session that has the default size of a batch gets ``BATCH_BYTES``; one that sets its own keeps it.
+    """
     sc = spark.sparkContext
+    if spark.conf.get(BATCH_KEY) in ("67108864b", "67108864", "64m", "64MB"):
+        spark.conf.set(BATCH_KEY, str(BATCH_BYTES))
     if getattr(sc, "_skein_shipped", False):
         return
     root = Path(__file__).resolve().parents[1]

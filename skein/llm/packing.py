@@ -14,6 +14,7 @@ named columns are read. An empty table gives no rows.
 from __future__ import annotations
 
 import base64
+import json
 import os
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -25,6 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import ship, table
+from .hashing import SPACED
 
 _ENCODERS: dict[str, Callable[[str], np.ndarray]] = {}
 #: Letters of a text without a break, over which the byte-pair merge of the fast library is too slow.
@@ -56,27 +58,31 @@ def encoder(path: str) -> Callable[[str], np.ndarray]:
     """
     if path in _ENCODERS:
         return _ENCODERS[path]
-    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    from tokenizers import Tokenizer
+    held: list = []
+
+    def slow(s: str) -> np.ndarray:
+        if not held:  # loaded when first needed: it takes a hundred megabytes
+            os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+            from tokenizers import Tokenizer
+
+            held.append(Tokenizer.from_file(path))
+        return np.array(held[0].encode(s, add_special_tokens=False).ids, dtype=np.uint32)
 
-    exact = Tokenizer.from_file(path)
-    special = [t.content for t in exact.get_added_tokens_decoder().values()]
-    slow = lambda s: np.array(exact.encode(s, add_special_tokens=False).ids, dtype=np.uint32)
     ranks = f"{path.removesuffix('.json')}.tiktoken"
     if not os.path.exists(ranks):
         _ENCODERS[path] = slow
         return slow
+    with open(path, encoding="utf-8") as f:
+        special = [t["content"] for t in json.load(f).get("added_tokens", [])]
     import public_tokenizers
-    import regex
     import tiktoken
 
     with open(ranks, "rb") as f:
         merges = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     quick = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=merges, special_tokens={})
-    run = regex.compile(rf"[^\s]{{{LONG_RUN}}}|\s{{{LONG_RUN}}}")
 
     def fast(s: str) -> np.ndarray:
-        if any(t in s for t in special) or len(s) > LONG_RUN and run.search(s):
+        if any(t in s for t in special) or len(s) > LONG_RUN and longest_run(s) > LONG_RUN:
             return slow(s)
         return np.asarray(quick.encode_to_numpy(s, disallowed_special=()), dtype=np.uint32)
 
@@ -84,6 +90,13 @@ def encoder(path: str) -> Callable[[str], np.ndarray]:
     return fast
 
 
+def longest_run(s: str) -> int:
+    """Bytes of the longest stretch of a text with only, or without any, ASCII white space."""
+    space = ~SPACED[np.frombuffer(s.encode(), dtype=np.uint8)]
+    edges = np.flatnonzero(space[1:] != space[:-1])
+    return int(np.diff(edges, prepend=-1, append=len(space) - 1).max())
+
+
 class Packer:
     """Packs examples into sequences; ``pieces`` holds (doc, start, ids, doc tokens, sequence, offset)."""
 
