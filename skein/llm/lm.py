@@ -325,6 +325,20 @@ def attend(p: dict, u: np.ndarray, cfg: LmConfig) -> tuple[np.ndarray, np.ndarra
     return w, np.matmul(w, p["ev"][u]) + p["er"][u[:, s:]]
 
 
+class Scatter:
+    """Sums rows by their bucket; one sort serves several sums over the same places."""
+
+    def __init__(self, at: np.ndarray):
+        flat = at.ravel()
+        self.order = np.argsort(flat)
+        flat = flat[self.order]
+        self.first = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))
+        self.to = flat[self.first]
+
+    def add(self, out: np.ndarray, rows: np.ndarray) -> None:
+        out[self.to] += np.add.reduceat(rows.reshape(-1, out.shape[1])[self.order], self.first, axis=0)
+
+
 def gradient(p: dict, ch: Channels, follow: Follow, u: np.ndarray, target: np.ndarray, cfg: LmConfig) -> dict[str, np.ndarray]:
     """The gradient of the mean log-probability of the targets' classes; the other factors have no weights."""
     s, d = cfg.stride, cfg.dim
@@ -342,13 +356,14 @@ def gradient(p: dict, ch: Channels, follow: Follow, u: np.ndarray, target: np.nd
     g["u"], g["c"] = hidden.T @ dz, dz.sum(0)
     dh = np.zeros((u.shape[0] * s, d), np.float32)
     dh[on] = dz @ p["u"].T
-    np.add.at(g["er"], u[:, s:].ravel(), dh)
+    every, late = Scatter(u), Scatter(u[:, s:])
+    late.add(g["er"], dh)
     dh = dh.reshape(-1, s, d)
-    np.add.at(g["ev"], u.ravel(), np.matmul(w.transpose(0, 2, 1), dh).reshape(-1, d))
+    every.add(g["ev"], np.matmul(w.transpose(0, 2, 1), dh))
     dw = np.matmul(dh, p["ev"][u].transpose(0, 2, 1))
     ds = w * (dw - (w * dw).sum(axis=2, keepdims=True))
-    np.add.at(g["eq"], u[:, s:].ravel(), (np.matmul(ds, p["ek"][u]) * d**-0.5).reshape(-1, d))
-    np.add.at(g["ek"], u.ravel(), (np.matmul(ds.transpose(0, 2, 1), p["eq"][u[:, s:]]) * d**-0.5).reshape(-1, d))
+    late.add(g["eq"], np.matmul(ds, p["ek"][u]) * d**-0.5)
+    every.add(g["ek"], np.matmul(ds.transpose(0, 2, 1), p["eq"][u[:, s:]]) * d**-0.5)
     far = np.clip(np.arange(s)[:, None] + s - np.arange(2 * s)[None, :], 0, 2 * s - 1)
     np.add.at(g["near"], far.ravel(), ds.sum(0).ravel())
     return g
