@@ -196,7 +196,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, cfg: DecontamConfig = D
     for k in range(n_blocks):
         own = items.filter(F.pmod(F.xxhash64("item_id"), F.lit(n_blocks)) == k)
         probe = spark.sparkContext.broadcast(Probe([(r[0], r[1]) for r in own.toLocalIterator()], cfg.window))
-        passes.append(scan(docs if n_blocks == 1 else docs.withColumn("doc_id", F.col("doc_id")), probe))
+        passes.append(scan(docs, probe))
     if n_blocks == 1:
         return passes[0]
     # repeated document rows have equal results, so a doc_id's passes can be joined by it
@@ -212,7 +212,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, cfg: DecontamConfig = D
     one = both.groupBy("doc_id").agg(
         F.max("n_words").alias("n_words"), cover.alias("n_hit"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.max("longest").alias("longest")
     )
-    return docs.select("doc_id").join(one, "doc_id")
+    one = one.withColumnRenamed("doc_id", "_id")
+    return docs.select("doc_id").join(one, F.col("doc_id").eqNullSafe(F.col("_id"))).drop("_id")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, cfg: DecontamConfig = DecontamConfig()) -> DataFrame:

@@ -13,7 +13,7 @@ share too few shingles with all others to have a link, so no link that the bands
 chance collisions, allows it.
 
 Null and empty texts have no shingles and link with nothing: each is its own component. Repeated rows
-of one doc_id count as copies of it. Columns other than the two named ones are never read.
+of one doc_id count as copies of it; rows without a doc_id that have no other copy get a null component. Columns other than the two named ones are never read.
 """
 
 from __future__ import annotations

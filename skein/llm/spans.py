@@ -9,8 +9,8 @@ a run within the passage. Runs are compared by their words, A-Z in lower case.
 
 The first occurrence of a run, by doc_id and then place, stays; sentences covered by any later one go,
 within one document too. Rows of the same doc_id count as one document's first row and copies: their
-places tie and are kept alike. Null and empty texts have no sentences and come back empty. Columns other
-than the two named ones are not read.
+places tie and are kept alike. Null and empty texts have no sentences and come back empty; rows
+without a doc_id have no place in the order and come back whole. Columns other than the two named ones are not read.
 """
 
 from __future__ import annotations
@@ -103,7 +103,7 @@ def hashed_runs(docs: DataFrame, cfg: SpanConfig) -> DataFrame:
 
 def repeated(docs: DataFrame, cfg: SpanConfig = SpanConfig()) -> DataFrame:
     """doc_id, spans: the sentence spans (from and length in one long) that a non-first run covers."""
-    every = hashed_runs(docs, cfg)
+    every = hashed_runs(docs.filter("doc_id is not null"), cfg)
     firsts = every.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "at")).alias("f")).filter("n > 1").select("h", F.col("f.doc_id").alias("fd"), F.col("f.at").alias("fa"))
     later = every.join(cut(firsts, "firsts"), "h").filter("doc_id <> fd or at <> fa")
     return later.groupBy("doc_id").agg(F.array_sort(F.collect_set("at")).alias("spans"))

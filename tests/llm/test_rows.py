@@ -390,3 +390,17 @@ def test_every_sentence_of_a_passage_is_in_a_run():
 
 def test_digests_are_of_joined_names():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")
+
+
+def test_rows_without_an_id(spark):
+    """A null in the id column: every operator gives the row back and none fails."""
+    rows = [(None, "some words that stand here without any name of their own at all"), (None, None), (1, "a text " * 50), (2, "a text " * 50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(1, "stand here without any name"), (None, "x")], "item_id long, text string").filter("item_id is not null")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (None, 1)], "doc_id long, quality int")
+    for out in (
+        pii.detect(docs), quality.quality_scores(docs, labels), lm.scored(docs, lm.LmConfig(frequent=5)), decontam.contamination(docs, bench), decontam.contamination(docs, bench, decontam.DecontamConfig(block_chars=9)),
+        rules.apply_rules(docs), neardup.near_duplicates(docs), spans.cleaned(docs), pii.redact(docs),
+    ):
+        assert len(out.collect()) >= 4
+    assert {p.doc_id for p in packing.pack(docs).collect()} == {None, 1, 2}
