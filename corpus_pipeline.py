@@ -22,11 +22,14 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Documents that the quality model accepts. Rows of one doc_id share the verdict on their best row."""
     scores = quality.quality_scores(docs, table(spark, sf_dir, "labels"))
     good = scores.groupBy("doc_id").agg(F.max("score").alias("_score")).filter("_score >= 0.3").select(F.col("doc_id").alias("_id"))
-    return docs.join(good, F.col("doc_id") == F.col("_id"), "left_semi")
+    return docs.join(good, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near-duplicates; texts without words are no group."""
+    """The document with the smallest id of each group of near-duplicates; texts without words are no group.
+
+    Rows of one doc_id are one document; rows without one can't stand for a group and go.
+    """
     groups = neardup.near_duplicates(docs)
     kept = groups.filter("doc_id = component_id").select(F.col("doc_id").alias("_id")).distinct()
     return docs.join(kept, F.col("doc_id") == F.col("_id"), "left_semi").dropDuplicates(["doc_id"])
