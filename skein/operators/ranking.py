@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -52,17 +54,37 @@ def top_k_cosine(rows: DataFrame, query: list[float], k: int, key: str = "vec_id
     return rows.select(key, N.cosine(F.col(vector), q).alias("score")).orderBy(F.desc("score"), F.asc(key)).limit(k)
 
 
-def neighbours_in_bucket(rows: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", bucket: str = "label") -> DataFrame:
-    """(key, other, score, rank): the ``k`` nearest others in the same bucket, ties by id.
+def neighbours_in_bucket(rows: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", bucket: str = "label", block: int = 1024) -> DataFrame:
+    """(key, other, score, rank): the ``k`` nearest others in the same bucket, exactly, ties by id.
 
-    The join is on the bucket; both sides carry the vector's norm, so a pair costs one dot product.
+    A bucket is cut into blocks by a hash of the id, about ``block`` rows each, so a bucket of any size
+    is spread over tasks. Every two of its blocks meet once, as one matrix product that gives ``k`` rows
+    for each query row; the best of these are the answer. No pair of rows is ever a row of its own.
     """
-    v = rows.select(key, bucket, F.transform(vector, lambda x: x.cast("double")).alias("v")).withColumn("n", N.norm(F.col("v")))
-    o = v.select(F.col(key).alias("other"), bucket, F.col("v").alias("w"), F.col("n").alias("m"))
-    pairs = v.join(o, bucket).filter(F.col(key) != F.col("other"))
-    score = F.when(F.col("n") * F.col("m") == 0, 0.0).otherwise(N.dot(F.col("v"), F.col("w")) / (F.col("n") * F.col("m")))
-    w = Window.partitionBy(key).orderBy(F.desc("score"), F.asc("other"))
-    return pairs.select(key, "other", score.alias("score")).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    count = F.count(F.lit(1))
+    sizes = rows.groupBy(bucket).agg(F.ceil(count / block).cast("int").alias("_n"))
+    v = rows.select(F.col(key).cast("long").alias("_k"), F.col(bucket).alias("_g"), F.col(vector).cast("array<double>").alias("_v")).join(sizes.withColumnRenamed(bucket, "_g"), "_g")
+    v = v.withColumn("_b", F.pmod(F.xxhash64("_k"), F.col("_n")).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("_n") - 1))
+    ask = v.select("_g", "_k", "_v", "_b", every.alias("_o"))
+    have = v.select(F.col("_g").alias("g2"), F.col("_k").alias("k2"), F.col("_v").alias("v2"), F.col("_b").alias("o2"), every.alias("b2"))
+
+    def nearest(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
+        names = ["_k", "other", "score"]
+        if q.empty or c.empty:
+            return pd.DataFrame([], columns=names)
+        c = c.sort_values("k2", kind="stable")
+        unit = lambda x: (m := np.stack(x.to_numpy())) / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
+        ids, near = q["_k"].to_numpy(), c["k2"].to_numpy()
+        s = np.round(unit(q["_v"]) @ unit(c["v2"]).T, 12)
+        s[ids[:, None] == near[None, :]] = -np.inf
+        at = np.argsort(-s, axis=1, kind="stable")[:, :k]
+        out = pd.DataFrame({"_k": np.repeat(ids, at.shape[1]), "other": near[at].ravel(), "score": np.take_along_axis(s, at, axis=1).ravel()})
+        return out[out["score"] > -np.inf]
+
+    best = ask.groupBy("_g", "_b", "_o").cogroup(have.groupBy("g2", "b2", "o2")).applyInPandas(nearest, "_k long, other long, score double")
+    w = Window.partitionBy("_k").orderBy(F.desc("score"), F.asc("other"))
+    return best.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).withColumnRenamed("_k", key)
 
 
 def histogram(df: DataFrame, value: str, width: float, bins: int) -> DataFrame:

@@ -168,3 +168,10 @@ def test_windows_of_a_stream_match_the_batch(spark, data, tmp_path):
     q.stop()
     n = {(str(r.start), r.event_type): r.n for r in spark.sql("select * from tumbling").collect()}
     assert n == {(str(r.start), r.event_type): r.n for r in Z.tumbling(events, "1 hour").collect()}
+
+
+def test_neighbours_across_blocks(spark, data):
+    rows = S.table(spark, data, "embeddings")
+    one = {(r.vec_id, r.rank): (r.other, round(r.score, 9)) for r in R.neighbours_in_bucket(rows, 3).collect()}
+    many = {(r.vec_id, r.rank): (r.other, round(r.score, 9)) for r in R.neighbours_in_bucket(rows, 3, block=16).collect()}
+    assert one == many and len(one) == 3 * rows.count()
