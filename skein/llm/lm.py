@@ -28,6 +28,7 @@ and the base score is 0. Repeated rows are scored each; columns other than doc_i
 from __future__ import annotations
 
 import base64
+import itertools
 import re
 from dataclasses import dataclass
 
@@ -42,6 +43,7 @@ from .common import cut, ship, table
 
 END = np.uint64(0)  # stands for the end token among word hashes
 _PLACE = np.array([1, 1 << 12, 1 << 24, 1 << 36], dtype=np.uint64)
+_MISSING = itertools.repeat(-1)
 _ODD = re.compile(r"[^\S ]")
 
 
@@ -84,7 +86,7 @@ class Subwords:
 
     def forget(self) -> None:
         self.slot: dict[int, int] = {}
-        self.at, self.size, self.used, self.fill = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), 0, 0
+        self.at, self.size, self.used, self.fill = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int32), 0, 0
         self.pool = np.zeros(1 << 18, np.uint16)
 
     def encode(self, word: str) -> list[int]:
@@ -133,17 +135,22 @@ class Subwords:
         """All ids of a block's words, and how many each text has. unique, where, back: of ``distinct``."""
         if self.used > self.most:
             self.forget()
-        get = self.slot.get
-        slots = np.array([get(h, -1) for h in unique.tolist()], dtype=np.int64)
+        slots = np.fromiter(map(self.slot.get, unique.tolist(), _MISSING), dtype=np.int32, count=len(unique))
         new = np.flatnonzero(slots < 0)
         if len(new):
             slots[new] = self.used + np.arange(len(new))
             self.learn(unique[new], w.start[where[new]], w.end[where[new]], data)
-        of = slots[back]
-        n = self.size[of]
-        total = np.concatenate([[0], np.cumsum(n)])
-        flat = self.pool[np.repeat(self.at[of] - total[:-1], n) + np.arange(total[-1])]
-        return flat, np.diff(total[w.first])
+        at, size = self.at[slots], self.size[slots]  # of the distinct words, which are fewer
+        n = size[back]
+        total = np.zeros(len(n) + 1, dtype=np.int64)
+        np.cumsum(n, out=total[1:])
+        # places in the pool: one more than the last, but for a word's first
+        step = np.ones(total[-1], dtype=np.int32)
+        if len(n):
+            start = at[back]
+            step[total[0]] = start[0]
+            step[total[1:-1]] = start[1:] - (start[:-1] + n[:-1] - 1)
+        return self.pool[np.cumsum(step, dtype=np.int32)], np.diff(total[w.first])
 
 
 def distinct(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -477,42 +484,48 @@ def train(docs: DataFrame, cfg: LmConfig) -> tuple[Model, DataFrame]:
 
 
 class Scorer:
-    """The trained model laid out for scoring: the weights of attention between buckets are one table.
+    """The trained model laid out for scoring.
 
-    exp(q.k) of every two buckets is computed once, 0 where either is none, and the term for distance
-    and the causal mask are one matrix, so a batch's attention is a look-up, a product and a sum.
+    The causal mask and the term for distance are one matrix of factors; a last column of the keys makes
+    the weight of places without a bucket vanish, one of the values adds the weights up; and whatever
+    depends on the last bucket alone is one table of class probabilities.
     """
 
     def __init__(self, m: Model, cfg: LmConfig):
         p, s = m.weights, cfg.stride
         self.m, self.cfg = m, cfg
-        table = np.exp(np.clip(p["eq"] @ p["ek"].T * np.float32(cfg.dim**-0.5), -30, 30))
-        table[-1, :] = table[:, -1] = 0
-        self.table, self.wide = np.ascontiguousarray(table, dtype=np.float32).ravel(), cfg.buckets + 1
+        one, gone = np.ones((cfg.buckets + 1, 1), np.float32), np.zeros((cfg.buckets + 1, 1), np.float32)
+        gone[-1] = -1e4
+        self.queries = np.concatenate([p["eq"] * np.float32(cfg.dim**-0.5), one], axis=1)
+        self.keys = np.concatenate([p["ek"], gone], axis=1)
+        self.values = np.concatenate([p["ev"], one], axis=1)
         far = np.clip(np.arange(s)[:, None] + s - np.arange(2 * s)[None, :], 0, 2 * s - 1)
         self.mask = np.where(causal(cfg), np.exp(np.clip(p["near"], -30, 30))[far], 0).astype(np.float32)
-        self.values = np.concatenate([p["ev"], np.ones((self.wide, 1), np.float32)], axis=1)  # and the weights' sum
-        self.prior, self.within = m.follow.prior, m.follow.within.ravel()
+        own = p["er"][:-1] @ p["u"] + p["c"]
+        self.prior = m.follow.prior * np.exp(own - own.max(axis=1, keepdims=True))
+        self.within = m.follow.within.ravel()
         self.cls = m.follow.cls[m.channels.bucket].astype(np.int32)  # of ids
+        self.ones = np.ones(cfg.classes, np.float32)
 
     def logs(self, u: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """log10 of the probability of every target, and their flat places."""
-        p, ch, s = self.m.weights, self.m.channels, self.cfg.stride
+        ch, s = self.m.channels, self.cfg.stride
         u = u.astype(np.intp)
         last = u[:, s:]
-        w = self.table.take((last * self.wide)[:, :, None] + u[:, None, :])
+        w = np.matmul(self.queries.take(last, axis=0), self.keys.take(u, axis=0).transpose(0, 2, 1))
+        np.minimum(w, 60, out=w)
+        np.exp(w, out=w)
         w *= self.mask
         h = np.matmul(w, self.values.take(u, axis=0))
-        h = h[:, :, :-1] / np.maximum(h[:, :, -1:], 1e-30) + p["er"].take(last, axis=0)
-        z = h.reshape(-1, self.cfg.dim) @ p["u"]
-        z += p["c"]
+        h = h[:, :, :-1] / np.maximum(h[:, :, -1:], 1e-30)
+        z = h.reshape(-1, self.cfg.dim) @ self.m.weights["u"]
         if z.max(initial=0) > 60:
             z -= z.max(axis=1, keepdims=True)
         np.exp(z, out=z)
         z *= self.prior.take(np.minimum(last, self.cfg.buckets - 1).ravel(), axis=0)  # no last bucket: no target
         on = np.flatnonzero(target.ravel() >= 0)
         t, before = target.ravel()[on], last.ravel()[on]
-        x = z.ravel()[on * z.shape[1] + self.cls[t]] / z.sum(axis=1)[on]
+        x = z.ravel()[on * z.shape[1] + self.cls[t]] / (z @ self.ones)[on]
         x *= self.within.take(before * self.cfg.buckets + ch.bucket[t])
         x *= ch.in_bucket[t]
         return np.log10(np.maximum(x, 1e-30)), on
