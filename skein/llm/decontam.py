@@ -98,11 +98,12 @@ def bounds(seq: np.ndarray, order: np.ndarray, rows: np.ndarray) -> tuple[np.nda
     return search(False), search(True)
 
 
-def shard(w: hashing.Words, probe: Probe) -> list[tuple[int, int, int, int, int]]:
-    """(first word, words in the window, item, longest match, suffix) of every window found; words counted in the shard."""
+def shard(w: hashing.Words, probe: Probe) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(first word, words in the window, item, longest match) of every window found; words counted in the shard."""
+    none = (np.zeros(0, dtype=np.int64),) * 4
     m = len(w.hash)
     if not m or not len(probe.vocabulary):
-        return []
+        return none
     at = np.searchsorted(probe.vocabulary, w.hash)
     at[at == len(probe.vocabulary)] = 0
     ids = np.where(probe.vocabulary[at] == w.hash, at + 1, 0).astype(np.int32)
@@ -115,7 +116,7 @@ def shard(w: hashing.Words, probe: Probe) -> list[tuple[int, int, int, int, int]
     long = ends - begins >= probe.shortest
     begins, ends = begins[long], ends[long]
     if not len(begins):
-        return []
+        return none
     size = ends - begins + 1  # each run is followed by a separator
     off = np.concatenate([[0], np.cumsum(size)])
     place = np.arange(off[-1]) - np.repeat(off[:-1], size) + np.repeat(begins, size)
@@ -125,17 +126,24 @@ def shard(w: hashing.Words, probe: Probe) -> list[tuple[int, int, int, int, int]
     found = []
     for n, rows, item, start in probe.groups:
         lo, hi = bounds(seq, order, rows)
-        for k in np.flatnonzero(hi > lo):
-            for p in order[lo[k] : hi[k]]:
-                found.append((int(place[p]), n, int(item[k]), longest(seq, int(p), probe, int(start[k])), int(start[k])))
-    return found
-
-
-def longest(seq: np.ndarray, p: int, probe: Probe, s: int) -> int:
-    """How many words match on from ``p`` in the shard and ``s`` in the test."""
-    n = min(len(seq) - p, int(probe.last[s]) - s)
-    differ = seq[p : p + n] != probe.words[s : s + n]
-    return int(differ.argmax()) if differ.any() else n
+        k = np.repeat(np.arange(len(rows)), hi - lo)
+        if len(k):
+            p = order[np.arange(len(k)) - np.repeat(np.cumsum(hi - lo) - (hi - lo), hi - lo) + lo[k]]
+            found.append((place[p], np.full(len(k), n), item[k], longest(seq, p, probe, start[k], n)))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else none
+
+
+def longest(seq: np.ndarray, p: np.ndarray, probe: Probe, s: np.ndarray, n: int) -> np.ndarray:
+    """How many words match on from each place ``p`` of the shard and ``s`` of the test, ``n`` of which are known to."""
+    size = np.full(len(p), n, dtype=np.int64)
+    on = np.arange(len(p))
+    while len(on):
+        a, b = p[on] + size[on], s[on] + size[on]
+        ok = (b < probe.last[s[on]]) & (a < len(seq))
+        ok[ok] = seq[a[ok]] == probe.words[b[ok]]
+        on = on[ok]
+        size[on] += 1
+    return size
 
 
 HITS = "doc_id long, n_words long, n_hit long, spans array<struct<first:long,end:long>>, items array<long>, longest long"
@@ -150,23 +158,22 @@ def scan(docs: DataFrame, probe) -> DataFrame:
             for i, j, data, off in hashing.blocks(batch.column(1), SHARD_BYTES):
                 w = hashing.words(data, off, inside=hashing.ALNUM)
                 n_words = np.diff(w.first)
-                spans: list[list] = [[] for _ in range(j - i)]
-                items: list[set] = [set() for _ in range(j - i)]
-                most = np.zeros(j - i, dtype=np.int64)
-                for first, n, item, far, _ in shard(w, p):
-                    d = int(np.searchsorted(w.first, first, side="right")) - 1
-                    spans[d].append((first - int(w.first[d]), first - int(w.first[d]) + n))
-                    items[d].add(item)
-                    most[d] = max(most[d], far)
-                spans = [merged(s) for s in spans]
+                first, n, item, far = shard(w, p)
+                doc = np.searchsorted(w.first, first, side="right") - 1
+                spans = merged(first, first + n, doc, w.first, j - i)
                 hit = [sum(b - a for a, b in s) for s in spans]
+                items: list[list[int]] = [[] for _ in range(j - i)]
+                for d, x in np.unique(np.stack([doc, item], axis=1), axis=0).tolist() if len(doc) else ():
+                    items[d].append(x)
+                most = np.zeros(j - i, dtype=np.int64)
+                np.maximum.at(most, doc, far)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(i, j - i).cast(pa.int64()),
                         pa.array(n_words, pa.int64()),
                         pa.array(hit, pa.int64()),
                         pa.array([[{"first": a, "end": b} for a, b in s] for s in spans], pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())]))),
-                        pa.array([sorted(s) for s in items], pa.list_(pa.int64())),
+                        pa.array(items, pa.list_(pa.int64())),
                         pa.array(most, pa.int64()),
                     ],
                     ["doc_id", "n_words", "n_hit", "spans", "items", "longest"],
@@ -175,13 +182,16 @@ def scan(docs: DataFrame, probe) -> DataFrame:
     return docs.mapInArrow(run, HITS)
 
 
-def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    out: list[tuple[int, int]] = []
-    for a, b in sorted(spans):
-        if out and a <= out[-1][1]:
-            out[-1] = (out[-1][0], max(b, out[-1][1]))
-        else:
-            out.append((a, b))
+def merged(a: np.ndarray, b: np.ndarray, doc: np.ndarray, first: np.ndarray, n: int) -> list[list[tuple[int, int]]]:
+    """Each document's spans of words, those that touch or overlap as one, counted from its first word."""
+    out: list[list[tuple[int, int]]] = [[] for _ in range(n)]
+    order = np.lexsort((b, a))
+    a, b, doc = a[order], b[order], doc[order]
+    if len(a):
+        reach = np.maximum.accumulate(b)
+        new = np.flatnonzero(np.concatenate([[True], (a[1:] > reach[:-1]) | (doc[1:] != doc[:-1])]))
+        for x, y, d in zip(a[new].tolist(), reach[np.append(new[1:], len(a)) - 1].tolist(), doc[new].tolist(), strict=True):
+            out[d].append((x - int(first[d]), y - int(first[d])))
     return out
 
 
