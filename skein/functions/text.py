@@ -44,6 +44,12 @@ def shingles(tok: Column, k: int) -> Column:
     return let(tok, lambda t: F.when(F.size(t) >= k, F.array_distinct(runs(t))).otherwise(none))
 
 
+def hashed_shingles(tok: Column, k: int) -> Column:
+    """Distinct 64-bit hashes of the runs of ``k`` tokens: each token is hashed once and no run is made a string."""
+    run = lambda h: F.transform(F.slice(h, 1, F.greatest(F.size(h) - (k - 1), F.lit(0))), lambda x, i: F.xxhash64(x, *[F.get(h, i + j) for j in range(1, k)]))
+    return let(F.transform(tok, lambda t: F.xxhash64(t)), lambda h: F.array_distinct(run(h)))
+
+
 def normalized_title(title: Column, stop: tuple[str, ...]) -> Column:
     return F.array_join(F.filter(tokens(title), lambda t: ~t.isin(*stop)), " ")
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from skein.config import DedupConfig, stamp
 from skein.functions import text as T
+from skein.operators.graph import checkpointed
 
 
 def oriented(df: DataFrame, x: str, y: str) -> DataFrame:
@@ -77,8 +78,8 @@ def hub_anchor(edges: DataFrame, group: str = "grp") -> DataFrame:
 
 
 def gram_table(docs: DataFrame, cfg: DedupConfig = DedupConfig()) -> DataFrame:
-    """doc_id, n (distinct shingles), g: a row for each distinct shingle; documents with too few have none."""
-    grams = T.shingles(T.tokens(F.col("text")), cfg.shingle)
+    """doc_id, n (distinct shingles), g: the hash of each distinct shingle; documents with too few have none."""
+    grams = T.hashed_shingles(T.tokens(F.col("text")), cfg.shingle)
     return docs.select("doc_id", grams.alias("_g")).withColumn("n", F.size("_g")).filter(F.col("n") >= cfg.min_shingles).select("doc_id", "n", F.explode("_g").alias("g"))
 
 
@@ -90,10 +91,10 @@ def near_pairs(docs: DataFrame, cfg: DedupConfig = DedupConfig()) -> DataFrame:
     rarely in a prefix. Candidates are verified on full sets.
     """
     reps = exact_groups(docs, 1).select(F.col("rep").alias("doc_id"))
-    grams = gram_table(docs.join(reps, "doc_id", "left_semi"), cfg)
+    grams = checkpointed(gram_table(docs.join(reps, "doc_id", "left_semi"), cfg))
     df = grams.groupBy("g").agg(F.count(F.lit(1)).alias("df"))
     ranked = grams.join(df.filter("df > 1"), "g", "left").withColumn("df", F.coalesce("df", F.lit(1)))
-    sets = ranked.groupBy("doc_id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "g"))).alias("s"))
+    sets = checkpointed(ranked.groupBy("doc_id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "g"))).alias("s")))
     keep = F.col("n") - F.ceil(F.col("n") * cfg.jaccard).cast("int") + 1
     first = sets.select("doc_id", "n", F.explode(F.filter(F.slice("s", F.lit(1), keep), lambda x: x["df"] > 1)).alias("x")).select("doc_id", "n", F.col("x.g").alias("g"))
     other = first.select(F.col("doc_id").alias("b"), F.col("n").alias("m"), "g")
@@ -133,8 +134,8 @@ def band_keys(hashed: DataFrame, cfg: DedupConfig = DedupConfig()) -> DataFrame:
 def lsh_candidates(docs: DataFrame, cfg: DedupConfig = DedupConfig(), most: int = 250_000) -> DataFrame:
     """(a, b) of distinct contents that share a band of their MinHash signatures; too many candidates raise."""
     reps = exact_groups(docs, 1).select(F.col("rep").alias("doc_id"))
-    grams = docs.join(reps, "doc_id", "left_semi").select("doc_id", T.shingles(T.tokens(F.col("text")), cfg.shingle).alias("g")).filter(F.size("g") >= cfg.min_shingles)
-    keys = band_keys(grams.select("doc_id", F.transform("g", lambda g: F.xxhash64(g)).alias("h")), cfg)
+    grams = docs.join(reps, "doc_id", "left_semi").select("doc_id", T.hashed_shingles(T.tokens(F.col("text")), cfg.shingle).alias("h")).filter(F.size("h") >= cfg.min_shingles)
+    keys = checkpointed(band_keys(grams, cfg))
     size = keys.groupBy("band", "key").agg(F.count(F.lit(1)).alias("k")).filter("k > 1")
     cost = size.agg(F.sum(F.col("k") * (F.col("k") - 1) / 2)).first()[0] or 0
     if cost > most:
