@@ -10,9 +10,9 @@ so context can shift whole groups of ids, as those of a language. Every factor i
 scores are log-probabilities, and the model starts from what counts alone give.
 
 Training documents are all whose hash remainder isn't the held-out one. Counts are gathered by
-partial sums and grow with the input. The network's weights come from windows of every training
-document, in proportion to its length: tasks take gradient steps on their own windows from the same start, and their weights are
-averaged by the windows seen, for ``rounds`` rounds.
+partial sums and grow with the input. The network's weights come from every window of every training
+document: tasks stream over their own windows, in gradient steps from the same start, and their weights
+are averaged by the windows seen, for ``rounds`` rounds.
 
 Scoring cuts each text into windows of ``2 * stride`` ids that overlap by half; the later half is scored,
 so each id is scored once, with at least ``stride`` ids of context where the text has them, as one
@@ -42,7 +42,6 @@ from . import hashing
 from .common import cut, ship, table
 
 END = np.uint64(0)  # stands for the end token among word hashes
-_PLACE = np.array([1, 1 << 12, 1 << 24, 1 << 36], dtype=np.uint64)
 _MISSING = itertools.repeat(-1)
 _ODD = re.compile(r"[^\S ]")
 
@@ -57,7 +56,6 @@ class LmConfig:
     classes: int = 64
     dim: int = 16
     stride: int = 16
-    share: int = 48  # of a document's further windows, one in so many is trained on
     rounds: int = 2
     steps_of: int = 128  # windows in a gradient step
     rate: float = 0.02
@@ -261,6 +259,7 @@ class Follow:
         of = np.zeros((cfg.buckets, cfg.classes))
         of[np.arange(cfg.buckets), self.cls] = 1
         self.prior = np.maximum(after @ of, 1e-12).astype(np.float32)  # class after bucket
+        self.log_prior = np.log(self.prior)
         self.within = (after / self.prior[:, self.cls]).astype(np.float32)  # bucket in its class, after bucket
 
 
@@ -337,7 +336,7 @@ class Scatter:
 
     def __init__(self, at: np.ndarray):
         flat = at.ravel()
-        self.order = np.argsort(flat)
+        self.order = np.argsort(flat.astype(np.uint16), kind="stable")  # by digits; there are fewer buckets
         flat = flat[self.order]
         self.first = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))
         self.to = flat[self.first]
@@ -353,7 +352,7 @@ def gradient(p: dict, ch: Channels, follow: Follow, u: np.ndarray, target: np.nd
     on = np.flatnonzero(target.ravel() >= 0)
     cls = follow.cls[ch.bucket[target.ravel()[on]]]
     hidden = h.reshape(-1, d)[on]
-    z = hidden @ p["u"] + p["c"] + np.log(follow.prior[u[:, s:].ravel()[on]])
+    z = hidden @ p["u"] + p["c"] + follow.log_prior[u[:, s:].ravel()[on]]
     z -= z.max(axis=1, keepdims=True)
     np.exp(z, out=z)
     dz = -z / z.sum(axis=1, keepdims=True)
@@ -376,22 +375,59 @@ def gradient(p: dict, ch: Channels, follow: Follow, u: np.ndarray, target: np.nd
     return g
 
 
-def climb(p: dict, ch: Channels, follow: Follow, u: np.ndarray, target: np.ndarray, cfg: LmConfig) -> dict:
-    """Adam steps over the windows, in their order."""
-    p = {k: v.copy() for k, v in p.items()}
-    m, v = ({k: np.zeros_like(x) for k, x in p.items()} for _ in range(2))
-    for i, a in enumerate(range(0, len(u), cfg.steps_of), 1):
-        g = gradient(p, ch, follow, u[a : a + cfg.steps_of], target[a : a + cfg.steps_of], cfg)
-        for k, x in g.items():
-            m[k] += 0.1 * (x - m[k])
-            v[k] += 0.01 * (x * x - v[k])
-            p[k] += (cfg.rate * (m[k] / (1 - 0.9**i)) / (np.sqrt(v[k] / (1 - 0.99**i)) + 1e-8)).astype(np.float32)
-    return p
+class Climb:
+    """Adam steps over windows as they come, ``steps_of`` at a time; what is left over waits for more."""
+
+    def __init__(self, p: dict, ch: Channels, follow: Follow, cfg: LmConfig):
+        self.p = {k: v.copy() for k, v in p.items()}
+        self.m, self.v = ({k: np.zeros_like(x) for k, x in p.items()} for _ in range(2))
+        self.ch, self.follow, self.cfg = ch, follow, cfg
+        self.steps = self.seen = 0
+        self.left: tuple[np.ndarray, np.ndarray] | None = None
+
+    def add(self, u: np.ndarray, target: np.ndarray) -> None:
+        self.seen += len(u)
+        if self.left is not None:
+            u, target = np.concatenate([self.left[0], u]), np.concatenate([self.left[1], target])
+        full = len(u) - len(u) % self.cfg.steps_of
+        for a in range(0, full, self.cfg.steps_of):
+            self.step(u[a : a + self.cfg.steps_of], target[a : a + self.cfg.steps_of])
+        self.left = u[full:], target[full:]
+
+    def end(self) -> dict:
+        """The weights, after a last step on what is left."""
+        if self.left is not None and len(self.left[0]):
+            self.step(*self.left)
+            self.left = None
+        return self.p
+
+    def step(self, u: np.ndarray, target: np.ndarray) -> None:
+        self.steps += 1
+        one, two = self.cfg.rate / (1 - 0.9**self.steps), 1 / (1 - 0.99**self.steps)
+        for k, x in gradient(self.p, self.ch, self.follow, u, target, self.cfg).items():
+            m, v = self.m[k], self.v[k]
+            m += np.float32(0.1) * (x - m)
+            x *= x
+            v += np.float32(0.01) * (x - v)
+            root = np.sqrt(v * np.float32(two))
+            root += np.float32(1e-8)
+            np.divide(m, root, out=root)
+            root *= np.float32(one)
+            self.p[k] += root
+
+
+def packed_ids(flat: np.ndarray, n: np.ndarray) -> bytes:
+    """The ids of a block's texts as one value: how many texts, each one's ids, and all ids."""
+    return np.uint32(len(n)).tobytes() + n.astype("<u4").tobytes() + flat.astype("<u2").tobytes()
+
+
+def unpacked_ids(raw) -> tuple[np.ndarray, np.ndarray]:
+    k = int(np.frombuffer(raw, "<u4", 1)[0])
+    return np.frombuffer(raw, "<u2", offset=4 + 4 * k), np.frombuffer(raw, "<u4", k, 4).astype(np.int64)
 
 
 def windows(docs: DataFrame, shared, cfg: LmConfig) -> DataFrame:
-    """kind 2: counts of bucket pairs; kind 3: windows to train on, the first of each
-    training document and a share of the others that a hash of their own ids picks."""
+    """kind 2: counts of bucket pairs; kind 3: the ids of all training documents, a row for each block of them."""
 
     def run(batches):
         code, ch = subwords(cfg), shared.value
@@ -401,15 +437,13 @@ def windows(docs: DataFrame, shared, cfg: LmConfig) -> DataFrame:
                 w = hashing.words(data, off)
                 unique, where, back, _ = distinct(w.hash)
                 flat, n = code.ids(w, data, unique, where, back)
-                u, target, text = chunks(flat, n, ch.bucket, code.end, cfg)
+                u, target, _ = chunks(flat, n, ch.bucket, code.end, cfg)
                 on = target >= 0
                 waiting.append(u[:, cfg.stride :][on] * np.int32(cfg.buckets) + ch.bucket[target[on]])
                 if len(waiting) == 16:
                     pairs += np.bincount(np.concatenate(waiting), minlength=len(pairs))
                     waiting = []
-                some = np.flatnonzero((np.diff(text, prepend=-1) > 0) | (hashing.mix(u[:, -4:].astype(np.uint64) @ _PLACE) % np.uint64(cfg.share) == 0))
-                raw = [x.tobytes() for x in np.concatenate([u[some], target[some]], axis=1).astype("<u2")]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(raw), 3, np.int32)), pa.nulls(len(raw), pa.int64()), pa.nulls(len(raw), pa.int64()), pa.array(raw, pa.binary())], ["kind", "key", "n", "w"])
+                yield pa.RecordBatch.from_arrays([pa.array([3], pa.int32()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([packed_ids(flat, n)], pa.binary())], ["kind", "key", "n", "w"])
         if waiting:
             pairs += np.bincount(np.concatenate(waiting), minlength=len(pairs))
         keys = np.flatnonzero(pairs)
@@ -419,20 +453,33 @@ def windows(docs: DataFrame, shared, cfg: LmConfig) -> DataFrame:
     return docs.filter(~held_out(cfg)).select("text").mapInArrow(run, "kind int, key long, n long, w binary")
 
 
+def mixed_windows(flat: np.ndarray, n: np.ndarray, bucket: np.ndarray, r: np.random.Generator, cfg: LmConfig):
+    """Every window of a block's texts once, in a random order, so that a step isn't one long text's."""
+    u, target, _ = chunks(flat, n, bucket, len(bucket) - 1, cfg)
+    order = r.permutation(len(u))
+    most = 64 * cfg.steps_of
+    for a in range(0, len(order), most):
+        yield u[order[a : a + most]], target[order[a : a + most]]
+
+
 def averaged(seen: DataFrame, shared, weights: dict, cfg: LmConfig) -> dict:
     """One round: every task climbs on its windows; the weights are averaged by how many windows each saw."""
     names = list(weights)
     sent = seen.sparkSession.sparkContext.broadcast(weights)
 
     def run(batches):
-        rows = [np.frombuffer(x.as_py(), dtype="<u2") for b in batches for x in b.column(0)]
-        if rows:
-            every = np.stack(rows).astype(np.int32)
-            every[every == 65535] = -1
-            ch, follow = shared.value
-            p = climb(sent.value, ch, follow, every[:, : 2 * cfg.stride], every[:, 2 * cfg.stride :], cfg)
-            flat = np.concatenate([p[k].ravel() for k in names]).astype(np.float64) * len(rows)
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat))), pa.array(flat), pa.array(np.full(len(flat), len(rows)))], ["i", "x", "n"])
+        ch, follow = shared.value
+        task = Climb(sent.value, ch, follow, cfg)
+        r = np.random.default_rng(7)
+        for b in batches:
+            for x in b.column(0):
+                flat, n = unpacked_ids(x.as_buffer())
+                for u, target in mixed_windows(flat, n, ch.bucket, r, cfg):
+                    task.add(u, target)
+        if task.seen:
+            p = task.end()
+            flat = np.concatenate([p[k].ravel() for k in names]).astype(np.float64) * task.seen
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat))), pa.array(flat), pa.array(np.full(len(flat), task.seen))], ["i", "x", "n"])
 
     got = seen.select("w").mapInArrow(run, "i long, x double, n long").groupBy("i").agg((F.sum("x") / F.sum("n")).alias("x")).toArrow()
     if not got.num_rows:

@@ -193,6 +193,48 @@ def test_lm_gradient_and_windows():
         assert (loss(up) - loss(down)) / 2e-2 == pytest.approx(float((g[k] * d).sum()), abs=3e-3)
 
 
+def test_lm_trains_on_every_window(spark):
+    """Every window of every training document, its tail and its copies reach a gradient step once a round."""
+    import pyarrow as pa
+
+    text = " ".join(f"w{i % 37} stone" for i in range(300))
+    rows = [(i, text if i < 5 else f"{text} tail{i}") for i in range(20)]
+    docs = spark.createDataFrame([*rows, (50, None)], "doc_id long, text string")
+    cfg = lm.LmConfig(stride=4)
+    code = lm.subwords(cfg)
+    ch = lm.Channels(np.ones(code.n), cfg)
+    got = lm.windows(docs, spark.sparkContext.broadcast(ch), cfg).filter("kind = 3").select("w").collect()
+    seen = collections.Counter()
+    for g in got:
+        flat, n = lm.unpacked_ids(bytes(g.w))
+        for u, target in lm.mixed_windows(flat, n, ch.bucket, np.random.default_rng(0), cfg):
+            seen.update(x.tobytes() for x in target)
+    want = collections.Counter()
+    for i, t in [*rows, (50, None)]:
+        if zlib.crc32(str(i).encode()) % 7 != 2:
+            data, off = hashing.texts(pa.array([t], pa.string()))
+            w = hashing.words(data, off)
+            unique, where, back, _ = lm.distinct(w.hash)
+            flat, n = code.ids(w, data, unique, where, back)
+            want.update(x.tobytes() for x in lm.chunks(flat, n, ch.bucket, code.end, cfg)[1])
+    assert seen == want and sum(want.values()) > 15 * 150
+
+
+def test_lm_steps_take_all_windows_in_any_portions():
+    cfg = lm.LmConfig(buckets=16, alone=12, classes=4, dim=3, stride=4, steps_of=8)
+    r = np.random.default_rng(3)
+    ch = lm.Channels(r.integers(1, 50, 40).astype(float), cfg)
+    fo = lm.Follow(r.integers(0, 9, (16, 16)).astype(float), ch.unigram, cfg)
+    u, target, _ = lm.chunks(r.integers(0, 40, 170), np.array([100, 70]), ch.bucket, 39, cfg)
+    once, parts = (lm.Climb(lm.start_weights(cfg), ch, fo, cfg) for _ in range(2))
+    once.add(u, target)
+    for a in range(0, len(u), 5):
+        parts.add(u[a : a + 5], target[a : a + 5])
+    a, b = once.end(), parts.end()
+    assert once.seen == parts.seen == len(u) and once.steps == parts.steps == -(-len(u) // 8)
+    assert all(np.allclose(a[k], b[k], atol=1e-6) for k in a)
+
+
 # ---- 4 --------------------------------------------------------------------------------------------
 
 
