@@ -1,9 +1,10 @@
 """Substring dedup: sliding runs of consecutive sentences, hashed, joined globally, non-first ones removed.
 
 A sentence ends at a word that ends in . ! ? (closing quotes or brackets may follow) or at a line
-break. Stretches of over ``long`` words without either are cut where a word's own hash says so, at
-places that depend on the words nearby only, so that a repeated passage is cut alike wherever it
-stands. A run is the fewest consecutive sentences, two or more, that hold ``min_words`` words, counted
+break. Every ``long`` consecutive words without either are cut after the one of the smallest hash (the
+latest of equals), so no sentence is longer and a cut depends on fewer than ``long`` words to each side:
+a repeated passage is cut alike wherever it stands, but for its edges, and 5 * ``long`` + 6 common words
+or more hold a common run. Up to 2 * ``long`` words at an edge of a passage can stay. A run is the fewest consecutive sentences, two or more, that hold ``min_words`` words, counted
 both from each sentence on and back from each sentence; so every sentence of a repeated passage lies in
 a run within the passage. Runs are compared by their words, A-Z in lower case.
 
@@ -31,7 +32,6 @@ class SpanConfig:
     min_words: int = 16
     least: int = 2
     long: int = 8
-    every: int = 4
 
 
 _STOP = np.zeros(256, dtype=bool)
@@ -51,15 +51,24 @@ def sentences(w: hashing.Words, data: np.ndarray, cfg: SpanConfig) -> tuple[np.n
         upto = np.searchsorted(lines, w.start)
         last[:-1] |= upto[1:] > upto[:-1]
         last[w.first[1:][w.first[1:] > 0] - 1] = True
-        at = np.flatnonzero(last)
-        k = np.searchsorted(at, np.arange(m))  # the natural end at or after each word
-        after = at[np.minimum(k, len(at) - 1)] - np.arange(m)
-        before = np.arange(m) - np.where(k > 0, at[np.maximum(k - 1, 0)], -1)
-        last |= (after > cfg.long) & (before > cfg.long) & (w.hash % np.uint64(cfg.every) == 0)
+        last[cuts(w.hash, last, cfg.long)] = True
     begin = np.concatenate([np.zeros(1, dtype=np.int64), np.flatnonzero(last) + 1]) if m else np.zeros(1, dtype=np.int64)
     return begin, np.searchsorted(begin, w.first)
 
 
+def cuts(h: np.ndarray, last: np.ndarray, long: int) -> np.ndarray:
+    """The word of the smallest hash, the latest of equals, in every ``long`` words without a natural end."""
+    ends = np.concatenate([np.zeros(1, dtype=np.int64), np.cumsum(last)])
+    free = np.flatnonzero(ends[long:] == ends[: len(ends) - long]) if len(h) >= long else np.zeros(0, dtype=np.int64)
+    at, best = free.copy(), h[free]
+    for k in range(1, long):
+        x = h[free + k]
+        less = x <= best
+        best[less] = x[less]
+        at[less] = free[less] + k
+    return at
+
+
 def runs(begin: np.ndarray, first: np.ndarray, cfg: SpanConfig) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text, from, to) of the runs of all texts of a block, in sentences of the block, each once."""
     n = len(begin) - 1

@@ -430,6 +430,28 @@ def test_every_sentence_of_a_passage_is_in_a_run():
     assert (cover[: len(begin) - 1] > 0).all()
 
 
+def test_unpunctuated_passages_share_a_run(spark):
+    """A passage of 50 words or more, a line of its own in one text and inside a longer line in another."""
+    r = random.Random(21)
+    some = lambda n: [f"u{r.randint(0, 10**6)}" for _ in range(n)]
+    few = [x for x in (f"c{i}" for i in range(40)) if word_hash(x) % 4][:5]  # no cut by a word's own hash
+    passages = [some(n) for n in (50, 51, 60) for _ in range(60)] + [[few[(i * i + i // 5) % 5] for i in range(70)]]
+    rows = []
+    for k, p in enumerate(passages):
+        rows += [(2 * k, " ".join(p)), (2 * k + 1, " ".join([*some(30), *p, *some(30)]))]
+    got = {x.doc_id: x for x in spans.cleaned(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for k, p in enumerate(passages):
+        left = got[2 * k + 1].text.split()
+        assert got[2 * k + 1].n_removed and not any(left[j : j + 50] == p[i : i + 50] for i in range(len(p) - 49) for j in range(len(left) - 49))
+        assert got[2 * k].n_removed == 0 or k == len(passages) - 1  # the last repeats itself
+
+
+def word_hash(x):
+    import pyarrow as pa
+
+    return int(hashing.words(*hashing.texts(pa.array([x]))).hash[0])
+
+
 def test_digests_are_of_joined_names():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")
 
