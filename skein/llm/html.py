@@ -32,8 +32,10 @@ BLOCKS = frozenset(
     "header footer nav aside form fieldset address hr details summary dialog search center noscript".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-HIDDEN = frozenset("script style template head title svg math iframe object canvas audio video select textarea button noscript".split())
+HIDDEN = frozenset("script style template head title svg annotation annotation-xml iframe canvas audio video select textarea button noscript".split())
 RAW = frozenset("script style textarea title noscript template iframe".split())
+#: What a head can hold; anything else ends one that is still open.
+HEAD = frozenset("base basefont bgsound link meta title style script template noscript".split())
 CLOSES_P = BLOCKS - {"html", "body", "tr", "td", "th", "thead", "tbody", "tfoot", "caption", "li", "dt", "dd"}
 #: An element that a new one of the same row closes, up to the container that bounds the search.
 SIBLINGS = {"li": ({"li"}, {"ul", "ol"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
@@ -65,6 +67,8 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str, bool]]]:
 
     def text(a: int, b: int) -> None:
         nonlocal fresh
+        if stack[-1].tag == "head" and page[a:b].strip():
+            close(len(stack) - 1)
         if a < b and not hidden:
             t = page[a:b]
             if "&" in t:
@@ -99,8 +103,10 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str, bool]]]:
                     break
             fresh = fresh or tag in BLOCKS
             continue
-        if tag in ("html", "body") and any(s.tag == tag for s in stack):
+        if tag in ("html", "body") and any(s.tag == tag for s in stack) or tag == "head" and len(stack) > 1:
             continue
+        if stack[-1].tag == "head" and tag not in HEAD:
+            close(len(stack) - 1)
         if tag in CLOSES_P:
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].tag == "p":
@@ -136,7 +142,7 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str, bool]]]:
                 elif name == "style" and re.search(r"display\s*:\s*none", a[2] or a[3] or ""):
                     gone = True
             words = frozenset(w.lower() for w in found)
-        node = Node("template" if gone else tag, words, stack[-1], len(nodes))
+        node = Node("template" if gone and tag != "head" else tag, words, stack[-1], len(nodes))
         nodes.append(node)
         fresh = fresh or tag in BLOCKS
         if tag in RAW:

@@ -78,6 +78,28 @@ def test_text_rules():
     assert extract(page) == ["A & B\none two three\nfour five\ni\nii"]
 
 
+BODY = "<nav><ul><li><a href=/>Home</a></li></ul></nav><article><h1>A &amp; B</h1><p>one two three four five six seven eight</p><p>nine ten eleven twelve thirteen fourteen</p></article><footer>&copy; me</footer></body></html>"
+
+
+@pytest.mark.parametrize("head", ["<head><title>T</title><meta charset=utf-8><body>", "<head><title>T</title><style>p{}</style>", "<head hidden><link rel=x href=y><body>", "<head><noscript><p>no</p></noscript></head><body><head>"])
+def test_a_head_ends_without_its_end_tag(head):
+    want = "A & B\none two three four five six seven eight\nnine ten eleven twelve thirteen fourteen"
+    assert extract(f"<html><head><title>T</title></head><body>{BODY}", f"<html>{head}{BODY}") == [want, want]
+    nodes, pieces = html.parse(f"<html>{head}{BODY}")
+    assert all(n.tag in html.HEAD for n in nodes if n.parent and n.parent.tag == "head")
+
+
+def test_text_ends_a_head():
+    _, pieces = html.parse("<head> <title>T</title> plain words <b>more</b>")
+    assert "".join(t for _, t, _ in pieces).split() == ["plain", "words", "more"]
+
+
+def test_formulas_and_fallbacks_are_text():
+    page = "<article><p>one two three four <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation encoding=tex>TeX</annotation></math> five six seven <object data=f>eight nine</object> ten</p></article>"
+    _, pieces = html.parse(page)
+    assert "".join(t for _, t, _ in pieces) == "one two three four x=2 five six seven eight nine ten"
+
+
 def test_odd_pages():
     got = extract(None, "", "   ", "<", "<p", "plain text only", "</p></div>", "<article>" * 3000 + "deep" + "</article>" * 10, "<p>" * 5000 + "x", "<script>never closed", "<!-- open", "<div class='ad'>buy</div>")
     assert got[:3] == ["", "", ""] and len(got) == 12 and got[9] == "" and got[10] == ""
