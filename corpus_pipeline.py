@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.llm import decontam, neardup, packing, pii, quality
-from skein.llm.common import cut, table
+from skein.llm.common import cut, numbered, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -26,13 +26,16 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near-duplicates; texts without words are no group.
+    """The row with the smallest doc_id of each group of near-duplicates; texts without words are no group.
 
-    Rows of one doc_id are one document; rows without one can't stand for a group and go.
+    Rows are told apart by numbers of this stage, so rows without a doc_id, or of one doc_id, are kept or
+    go by their texts. A row without a doc_id stands for a group only if no other can.
     """
-    groups = neardup.near_duplicates(docs)
-    kept = groups.filter("doc_id = component_id").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(kept, F.col("doc_id") == F.col("_id"), "left_semi").dropDuplicates(["doc_id"])
+    rows = numbered(docs, "near-rows")
+    groups = neardup.near_duplicates(rows.select(F.col("_row").alias("doc_id"), "text")).select(F.col("doc_id").alias("_of"), F.col("component_id").alias("_group"))
+    ids = rows.select("_row", "doc_id").join(groups, F.col("_row") == F.col("_of"))
+    kept = ids.groupBy("_group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")).alias("_first")).select(F.col("_first._row").alias("_id"))
+    return rows.join(kept, F.col("_row") == F.col("_id"), "left_semi").drop("_row")
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

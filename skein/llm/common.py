@@ -11,6 +11,7 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text handled at a time in a Python worker (one longer text is handled alone).
 BLOCK_BYTES = 1 << 20
@@ -44,6 +45,11 @@ def cut(df: DataFrame, tag: str, by: tuple[str, ...] = ()) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame, tag: str) -> DataFrame:
+    """``df`` with a column ``_row`` of its own for each row, written, so that every later plan reads the same numbers."""
+    return cut(df.withColumn("_row", F.monotonically_increasing_id()), tag)
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the Python workers, once for each Spark context, and keep Arrow batches small.
 

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import hashing
-from .common import cut, ship, table
+from .common import cut, numbered, ship, table
 
 #: Bytes of text in a shard (a longer document is a shard of its own).
 SHARD_BYTES = 1 << 21
@@ -227,9 +227,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, cfg: DecontamConfig = D
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, cfg: DecontamConfig = DecontamConfig()) -> DataFrame:
-    """``docs`` without the contaminated documents."""
-    bad = contamination(docs, benchmark, cfg).filter((F.col("n_hit") > 0) & (cfg.share * F.col("n_hit") >= F.col("n_words"))).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, F.col("doc_id") == F.col("_bad"), "left_anti")
+    """``docs`` without the contaminated rows; each is judged by its own text, whatever its doc_id."""
+    rows = numbered(docs, "rows")
+    own = rows.select(F.col("_row").alias("doc_id"), "text")
+    bad = contamination(own, benchmark, cfg).filter((F.col("n_hit") > 0) & (cfg.share * F.col("n_hit") >= F.col("n_words"))).select(F.col("doc_id").alias("_bad"))
+    return rows.join(bad, F.col("_row") == F.col("_bad"), "left_anti").drop("_row")
 
 
 def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

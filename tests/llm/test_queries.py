@@ -44,6 +44,18 @@ def test_pipeline_stages(spark, data):
     assert len(corpus_pipeline.run(spark, data).collect()) == len(pieces)
 
 
+def test_stages_judge_rows_without_an_id_by_their_texts(spark, tmp_path):
+    text = [" ".join(f"{c}{i}" for i in range(40)) for c in "abcdef"]
+    rows = [(None, text[0]), (None, text[1]), (5, text[2]), (5, text[3]), (3, text[2]), (None, text[2]), (None, text[4]), (None, text[4]), (5, None), (None, "")]
+    docs = spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], "doc_id long, text string, source int")
+    kept = corpus_pipeline.near_dedup_stage(spark, docs, "")
+    got = {r.source for r in kept.collect()}
+    assert kept.columns == docs.columns and got in ({0, 1, 3, 4, 8, 9, x} for x in (6, 7))
+    spark.createDataFrame([(1, text[0]), (2, text[3])], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    clean = corpus_pipeline.decontamination_stage(spark, docs, str(tmp_path))
+    assert clean.columns == docs.columns and {r.source for r in clean.collect()} == {1, 2, 4, 5, 6, 7, 8, 9}
+
+
 def test_pipeline_of_nothing(spark, data):
     now = spark.read.parquet(f"{data}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
