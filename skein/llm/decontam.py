@@ -9,7 +9,8 @@ documents and documents don't cross shards.
 
 The benchmark is the stated query set: it is sent to the tasks in blocks of bounded size, one pass over
 the documents for each block. Null or empty documents have no words; null or empty items no windows;
-repeated rows of an item count once; repeated document rows are judged each. Extra columns are not read.
+repeated rows of an item count once, and all items without an id are one, a null among the items of a
+document; repeated document rows are judged each. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -38,12 +39,15 @@ class DecontamConfig:
 class Probe:
     """A block of the benchmark: vocabulary, test suffixes by window length, and the items they are of."""
 
-    def __init__(self, items: list[tuple[int, str]], window: int):
-        items = sorted({(int(i), t) for i, t in items if t})
+    def __init__(self, items: list[tuple[int | None, str]], window: int):
+        named = {(i if i is None else int(i), t) for i, t in items if t}
+        self.names: list[int | None] = [*sorted({i for i, _ in named if i is not None}), None]  # no id comes last
+        code = {i: k for k, i in enumerate(self.names)}
+        items = sorted((code[i], t) for i, t in named)
         w = hashing.words(*hashing.texts(pa.array([t for _, t in items], pa.large_string())), inside=hashing.ALNUM)
         self.vocabulary, ids = np.unique(w.hash, return_inverse=True)
         ids = (ids + 1).astype(np.int32)
-        self.groups: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]] = []  # length, windows, item, suffix in all
+        self.groups: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]] = []  # length, windows, item's place in names, suffix in all
         self.words = np.concatenate([ids, np.zeros(1, np.int32)])
         self.last = np.zeros(len(ids) + 1, dtype=np.int64)  # where the item of each word ends
         by: dict[int, list[tuple[int, int]]] = {}
@@ -162,9 +166,9 @@ def scan(docs: DataFrame, probe) -> DataFrame:
                 doc = np.searchsorted(w.first, first, side="right") - 1
                 spans = merged(first, first + n, doc, w.first, j - i)
                 hit = [sum(b - a for a, b in s) for s in spans]
-                items: list[list[int]] = [[] for _ in range(j - i)]
+                items: list[list[int | None]] = [[] for _ in range(j - i)]
                 for d, x in np.unique(np.stack([doc, item], axis=1), axis=0).tolist() if len(doc) else ():
-                    items[d].append(x)
+                    items[d].append(p.names[x])
                 most = np.zeros(j - i, dtype=np.int64)
                 np.maximum.at(most, doc, far)
                 yield pa.RecordBatch.from_arrays(

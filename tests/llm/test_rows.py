@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from skein.llm import decontam, hashing, lm, neardup, packing, pii, quality, rules, spans
+from tests import compare
 
 SPACED = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -270,6 +271,20 @@ def test_contamination(spark, odd, odd_texts, none, block):
     assert left.columns == odd.columns and 114 not in {r.doc_id for r in left.select("doc_id").collect()}
 
 
+@pytest.mark.parametrize("block", [10**7, 20])
+def test_items_without_an_id(spark, tmp_path, monkeypatch, block):
+    """Items whose id is null are one item, as in the SQL."""
+    docs = [(1, "see stone light under"), (2, "night river"), (3, "other words"), (4, "bright cold night river stone light")]
+    items = [(7, "stone light"), (None, "night river"), (None, "bright cold"), (None, None)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    cfg = decontam.DecontamConfig(block_chars=block)
+    monkeypatch.setattr(decontam, "DecontamConfig", lambda: cfg)
+    assert compare.differ(decontam.op4_benchmark_decontamination(spark, str(tmp_path)), compare.database(str(tmp_path)), decontam.SQL) == ""
+    rows = {r.doc_id: r for r in decontam.contamination(*(spark.read.parquet(str(tmp_path / f"{x}.parquet")) for x in ("documents", "benchmark")), cfg).collect()}
+    assert {i: (r.n_hit, r["items"]) for i, r in rows.items()} == {1: (2, [7]), 2: (2, [None]), 3: (0, []), 4: (6, [7, None])}
+
+
 def test_suffix_array_orders_suffixes():
     r = random.Random(5)
     seq = np.array([r.randint(0, 3) for _ in range(200)], dtype=np.int32)
