@@ -206,15 +206,15 @@ def contamination(docs: DataFrame, benchmark: DataFrame, cfg: DecontamConfig = D
     docs = docs.select("doc_id", "text")
     items = benchmark.select("item_id", "text").filter("text is not null")
     n_blocks = max(1, -(-(items.agg(F.sum(F.length("text"))).first()[0] or 0) // cfg.block_chars))
-    passes = []
+    probes = []
     for k in range(n_blocks):
         own = items.filter(F.pmod(F.xxhash64("item_id"), F.lit(n_blocks)) == k)
-        probe = spark.sparkContext.broadcast(Probe([(r[0], r[1]) for r in own.toLocalIterator()], cfg.window))
-        passes.append(scan(docs, probe))
+        probes.append(spark.sparkContext.broadcast(Probe([(r[0], r[1]) for r in own.toLocalIterator()], cfg.window)))
     if n_blocks == 1:
-        return passes[0]
-    # repeated document rows have equal results, so a doc_id's passes can be joined by it
-    parts = [cut(p.dropDuplicates(["doc_id"]), "pass") for p in passes]
+        return scan(docs, probes[0])
+    rows = numbered(docs, "rows")
+    own = rows.select(F.col("_row").alias("doc_id"), "text")
+    parts = [cut(scan(own, p), "pass") for p in probes]
     both = parts[0]
     for p in parts[1:]:
         both = both.unionByName(p)
@@ -227,7 +227,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, cfg: DecontamConfig = D
         F.max("n_words").alias("n_words"), cover.alias("n_hit"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.max("longest").alias("longest")
     )
     one = one.withColumnRenamed("doc_id", "_id")
-    return docs.select("doc_id").join(one, F.col("doc_id").eqNullSafe(F.col("_id"))).drop("_id")
+    return rows.select("doc_id", "_row").join(one, F.col("_row") == F.col("_id")).drop("_row", "_id")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, cfg: DecontamConfig = DecontamConfig()) -> DataFrame:

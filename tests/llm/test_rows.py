@@ -285,6 +285,15 @@ def test_items_without_an_id(spark, tmp_path, monkeypatch, block):
     assert {i: (r.n_hit, r["items"]) for i, r in rows.items()} == {1: (2, [7]), 2: (2, [None]), 3: (0, []), 4: (6, [7, None])}
 
 
+def test_blocks_of_the_benchmark_judge_every_row(spark):
+    """Different texts under one id, or without one, with more than one block of the benchmark."""
+    docs = [(1, "see stone light"), (1, "night river here now"), (None, "stone light"), (None, "other words"), (None, "night river")]
+    bench = spark.createDataFrame([(k, t) for k, t in enumerate(["stone light", "night river", "x y z"])], "item_id long, text string")
+    rows = decontam.contamination(spark.createDataFrame(docs, "doc_id long, text string"), bench, decontam.DecontamConfig(block_chars=20)).collect()
+    key = lambda x: repr(x)
+    assert sorted(((r.doc_id, r.n_words, r.n_hit, r["items"]) for r in rows), key=key) == sorted([(1, 3, 2, [0]), (1, 4, 2, [1]), (None, 2, 2, [0]), (None, 2, 0, []), (None, 2, 2, [1])], key=key)
+
+
 def test_suffix_array_orders_suffixes():
     r = random.Random(5)
     seq = np.array([r.randint(0, 3) for _ in range(200)], dtype=np.int32)
