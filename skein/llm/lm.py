@@ -11,12 +11,14 @@ scores are log-probabilities, and the model starts from what counts alone give.
 
 Training documents are all whose hash remainder isn't the held-out one. Counts are gathered by
 partial sums and grow with the input. The network's weights come from every window of every training
-document: tasks stream over their own windows, in gradient steps from the same start, and their weights
-are averaged by the windows seen, for ``rounds`` rounds.
+document, each seen once: the windows are dealt at random into ``parts`` of growing size, and for one
+part after another tasks stream over their own windows, in gradient steps from the same start, and
+their weights are averaged by the windows seen.
 
 Scoring cuts each text into windows of ``2 * stride`` ids that overlap by half; the later half is scored,
 so each id is scored once, with at least ``stride`` ids of context where the text has them, as one
-batch of masked attention. The end of the text is an id like any other.
+batch of masked attention. The end of the text is an id like any other. Every id has some probability;
+one that would be under 1e-30 counts as 1e-30.
 
 The base score is a unigram model over words with one added. Words seen at least N/``frequent`` times,
 so ``frequent`` at most, are sent to the tasks; all other occurrences meet their counts in a join.
@@ -44,6 +46,7 @@ from .common import cut, ship, table
 END = np.uint64(0)  # stands for the end token among word hashes
 _MISSING = itertools.repeat(-1)
 _ODD = re.compile(r"[^\S ]")
+_COUNTS = "kind int, key long, n long, w binary"
 
 
 @dataclass(frozen=True)
@@ -56,9 +59,10 @@ class LmConfig:
     classes: int = 64
     dim: int = 16
     stride: int = 16
-    rounds: int = 2
-    steps_of: int = 128  # windows in a gradient step
-    rate: float = 0.02
+    piece: int = 16  # windows that lie together in a gradient step
+    parts: tuple[int, ...] = (1, 1, 2, 4)  # shares of the windows between two averagings
+    steps_of: int = 256  # windows in a gradient step
+    rate: float = 0.04
     cache: int = 1_000_000  # words whose ids a worker remembers
     tokenizer: str | None = None  # a ranks file of the tiktoken library; None: the public byte_bpe_50k
 
@@ -87,27 +91,19 @@ class Subwords:
         self.at, self.size, self.used, self.fill = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int32), 0, 0
         self.pool = np.zeros(1 << 18, np.uint16)
 
-    def encode(self, word: str) -> list[int]:
-        if len(word) <= 400:
-            return self.code.encode_ordinary(f" {word}")
-        out: list[int] = []  # the merge of one very long word takes time with its square
-        for k in range(0, len(word), 400):
-            out += self.code.encode_ordinary((" " if k == 0 else "") + word[k : k + 400])
-        return out
-
     def encode_all(self, raw: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of words that lie in ``raw``, each after a space, and how many each has.
 
         Words don't hold spaces and ids don't cross them, so one call encodes all; an id that begins
-        with a space begins a word. Words with other white space, or very long ones, are encoded alone.
+        with a space begins a word. Where words hold other white space, each is encoded alone.
         """
         text = raw.tobytes().decode()
-        if int(size.max()) <= 400 and not _ODD.search(text):
+        if not _ODD.search(text):
             ids = np.asarray(self.code.encode_to_numpy(text, disallowed_special=()))
             at = np.flatnonzero(self.spaced[ids])
             if len(at) == len(size):
                 return ids, np.diff(np.append(at, len(ids)))
-        each = [self.encode(w) for w in text[1:].split(" ")]
+        each = [self.code.encode_ordinary(f" {w}") for w in text[1:].split(" ")]
         return np.array([i for e in each for i in e], dtype=np.int64), np.array([len(e) for e in each])
 
     def learn(self, hashes: np.ndarray, start: np.ndarray, end: np.ndarray, data: np.ndarray) -> None:
@@ -206,30 +202,78 @@ class Sums:
 def count_batches(kind: int, keys: np.ndarray, n: np.ndarray):
     for k in range(0, len(keys), 200_000):
         part = keys[k : k + 200_000]
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), kind, np.int32)), pa.array(part.view(np.int64)), pa.array(n[k : k + 200_000])], ["kind", "key", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), kind, np.int32)), pa.array(part.view(np.int64)), pa.array(n[k : k + 200_000]), pa.nulls(len(part), pa.binary())], ["kind", "key", "n", "w"])
+
+
+def pieces(flat: np.ndarray, n: np.ndarray, end: int, cfg: LmConfig) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A block's texts, each between two end ids, in pieces of ``piece`` windows: ids, sizes, whether context leads.
+
+    A piece holds the ids that its windows are given and the one after; but for a text's first piece, the
+    ids of the window before it lead, as context only.
+    """
+    s, long = cfg.stride, cfg.piece * cfg.stride
+    off = np.concatenate([[0], np.cumsum(n + 2)])
+    every = np.full(off[-1], end, dtype=np.int64)
+    text = np.repeat(np.arange(len(n)), n)
+    every[np.arange(len(flat)) + 2 * text + 1] = flat
+    count = -(-(n + 1) // long)
+    of = np.repeat(np.arange(len(n)), count)
+    at = (np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)) * long
+    lead = at > 0
+    begin = at - s * lead
+    size = np.minimum(at + long, n[of] + 1) + 1 - begin
+    return every[spread(size, off[of] + begin)], size, lead
+
+
+def spread(size: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """The places begin, begin + 1, ... of every run of ``size`` places, one run after another."""
+    return np.arange(int(size.sum())) + np.repeat(begin - (np.cumsum(size) - size), size)
+
 
+def packed(flat: np.ndarray, size: np.ndarray, lead: np.ndarray) -> bytes:
+    """Pieces as one value: how many, each one's size, whether context leads it, and all ids."""
+    return np.uint32(len(size)).tobytes() + size.astype("<u4").tobytes() + lead.astype("u1").tobytes() + flat.astype("<u2").tobytes()
 
-def counted(docs: DataFrame, cfg: LmConfig) -> DataFrame:
-    """kind (0: word, 1: subword id), key and n, summed over the training documents."""
+
+def unpacked(raw) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    k = int(np.frombuffer(raw, "<u4", 1)[0])
+    return np.frombuffer(raw, "<u2", offset=4 + 5 * k), np.frombuffer(raw, "<u4", k, 4).astype(np.int64), np.frombuffer(raw, "u1", k, 4 + 4 * k) > 0
+
+
+def gathered(docs: DataFrame, cfg: LmConfig) -> DataFrame:
+    """What one pass over the training documents gives, in the columns of ``_COUNTS``.
+
+    kind 0 and 1: a task's counts of words and of subword ids (key, n). kind 3: a block's pieces of part
+    ``key``, in a random order, so that a gradient step isn't one long text's.
+    """
 
     def run(batches):
-        code, words_, ids_ = subwords(cfg), Sums(), None
+        code, words_ = subwords(cfg), Sums()
         ids_ = np.zeros(code.n, dtype=np.int64)
+        r = np.random.default_rng(7)
+        shares = np.cumsum(cfg.parts) / sum(cfg.parts)
         for batch in batches:
             for _, _, data, off in hashing.blocks(batch.column(0)):
                 w = hashing.words(data, off)
                 unique, where, back, n = distinct(w.hash)
                 words_.add(unique, n)
-                flat, _ = code.ids(w, data, unique, where, back)
+                flat, each = code.ids(w, data, unique, where, back)
                 ids_ += np.bincount(flat, minlength=code.n)
                 words_.add(np.array([END]), np.array([len(off) - 1]))
                 ids_[code.end] += len(off) - 1
+                flat, size, lead = pieces(flat, each, code.end, cfg)
+                begin, order, at = np.cumsum(size) - size, r.permutation(len(size)), 0
+                for part, to in enumerate((shares * len(order)).round().astype(int)):
+                    own = order[at:to]
+                    at = to
+                    if len(own):
+                        value = packed(flat[spread(size[own], begin[own])], size[own], lead[own])
+                        yield pa.RecordBatch.from_arrays([pa.array([3], pa.int32()), pa.array([part], pa.int64()), pa.nulls(1, pa.int64()), pa.array([value], pa.binary())], ["kind", "key", "n", "w"])
         yield from count_batches(0, *words_.merged())
         some = np.flatnonzero(ids_)
         yield from count_batches(1, some.astype(np.uint64), ids_[some])
 
-    train = docs.filter(~held_out(cfg)).select("text")
-    return train.mapInArrow(run, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
+    return docs.filter(~held_out(cfg)).select("text").mapInArrow(run, _COUNTS)
 
 
 # ---- the model ------------------------------------------------------------------------------------
@@ -279,10 +323,11 @@ def clustered(after: np.ndarray, unigram: np.ndarray, k: int) -> np.ndarray:
 
 
 def start_weights(cfg: LmConfig) -> dict[str, np.ndarray]:
+    """Embeddings, their maps to key, value, query and own term, the map to classes, and the terms for distance."""
     r = np.random.default_rng(5)
-    small = lambda *shape: (r.standard_normal(shape) * 0.1).astype(np.float32)
+    some = lambda size, *shape: (r.standard_normal(shape) * size).astype(np.float32)
     b, d, c = cfg.buckets + 1, cfg.dim, cfg.classes
-    return {"eq": small(b, d), "ek": small(b, d), "ev": small(b, d), "er": small(b, d), "u": np.zeros((d, c), np.float32), "c": np.zeros(c, np.float32), "near": np.zeros(2 * cfg.stride, np.float32)}
+    return {"e": some(0.3, b, d), "w": some(d**-0.5, d, 4 * d), "u": np.zeros((d, c), np.float32), "c": np.zeros(c, np.float32), "near": np.zeros(2 * cfg.stride, np.float32)}
 
 
 def chunks(flat: np.ndarray, n: np.ndarray, bucket: np.ndarray, end: int, cfg: LmConfig) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -316,62 +361,105 @@ def causal(cfg: LmConfig) -> np.ndarray:
     return np.arange(2 * s)[None, :] <= np.arange(s)[:, None] + s
 
 
-def attend(p: dict, u: np.ndarray, cfg: LmConfig) -> tuple[np.ndarray, np.ndarray]:
-    """Attention weights and hidden states of the last half of each window, as one batch with a mask."""
+def distances(near: np.ndarray, cfg: LmConfig) -> tuple[np.ndarray, np.ndarray]:
+    """The factor of each of 2s places for each of the last s, 0 for later places; and how far off they are."""
     s = cfg.stride
-    q = p["eq"][u[:, s:]] * np.float32(cfg.dim**-0.5)
-    w = np.matmul(q, p["ek"][u].transpose(0, 2, 1))
     far = np.clip(np.arange(s)[:, None] + s - np.arange(2 * s)[None, :], 0, 2 * s - 1)
-    w += p["near"][far]
-    np.clip(w, -30, 30, out=w)
-    np.exp(w, out=w)
-    w *= causal(cfg).astype(np.float32)
-    w *= (u != cfg.buckets).astype(np.float32)[:, None, :]
-    w /= np.maximum(w.sum(axis=2, keepdims=True), 1e-9)
-    return w, np.matmul(w, p["ev"][u]) + p["er"][u[:, s:]]
-
-
-class Scatter:
-    """Sums rows by their bucket; one sort serves several sums over the same places."""
-
-    def __init__(self, at: np.ndarray):
-        flat = at.ravel()
-        self.order = np.argsort(flat.astype(np.uint16), kind="stable")  # by digits; there are fewer buckets
-        flat = flat[self.order]
-        self.first = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))
-        self.to = flat[self.first]
-
-    def add(self, out: np.ndarray, rows: np.ndarray) -> None:
-        out[self.to] += np.add.reduceat(rows.reshape(-1, out.shape[1])[self.order], self.first, axis=0)
-
-
-def gradient(p: dict, ch: Channels, follow: Follow, u: np.ndarray, target: np.ndarray, cfg: LmConfig) -> dict[str, np.ndarray]:
-    """The gradient of the mean log-probability of the targets' classes; the other factors have no weights."""
-    s, d = cfg.stride, cfg.dim
-    w, h = attend(p, u, cfg)
-    on = np.flatnonzero(target.ravel() >= 0)
-    cls = follow.cls[ch.bucket[target.ravel()[on]]]
-    hidden = h.reshape(-1, d)[on]
-    z = hidden @ p["u"] + p["c"] + follow.log_prior[u[:, s:].ravel()[on]]
-    z -= z.max(axis=1, keepdims=True)
-    np.exp(z, out=z)
-    dz = -z / z.sum(axis=1, keepdims=True)
-    dz[np.arange(len(on)), cls] += 1
-    dz *= 1.0 / max(len(on), 1)
-    g = {k: np.zeros_like(v) for k, v in p.items()}
-    g["u"], g["c"] = hidden.T @ dz, dz.sum(0)
-    dh = np.zeros((u.shape[0] * s, d), np.float32)
-    dh[on] = dz @ p["u"].T
-    every, late = Scatter(u), Scatter(u[:, s:])
-    late.add(g["er"], dh)
-    dh = dh.reshape(-1, s, d)
-    every.add(g["ev"], np.matmul(w.transpose(0, 2, 1), dh))
-    dw = np.matmul(dh, p["ev"][u].transpose(0, 2, 1))
-    ds = w * (dw - (w * dw).sum(axis=2, keepdims=True))
-    late.add(g["eq"], np.matmul(ds, p["ek"][u]) * d**-0.5)
-    every.add(g["ek"], np.matmul(ds.transpose(0, 2, 1), p["eq"][u[:, s:]]) * d**-0.5)
-    far = np.clip(np.arange(s)[:, None] + s - np.arange(2 * s)[None, :], 0, 2 * s - 1)
-    np.add.at(g["near"], far.ravel(), ds.sum(0).ravel())
+    return np.where(causal(cfg), np.exp(np.clip(near, -30, 30))[far], 0).astype(np.float32), far
+
+
+def tables(p: dict, cfg: LmConfig) -> tuple[np.ndarray, np.ndarray]:
+    """For each bucket its key, value and a one; and its query and own term."""
+    d = cfg.dim
+    t = p["e"] @ p["w"]
+    own = t[:, 2 * d :].copy()
+    own[:, :d] *= np.float32(d**-0.5)
+    return np.concatenate([t[:, : 2 * d], np.ones((len(t), 1), np.float32)], axis=1), own
+
+
+def exp_of(x: np.ndarray) -> None:
+    """exp in place, of 60 at most."""
+    if x.max(initial=0) > 60:
+        np.minimum(x, 60, out=x)
+    np.exp(x, out=x)
+
+
+def laid_out(flat: np.ndarray, size: np.ndarray, lead: np.ndarray, bucket: np.ndarray, cfg: LmConfig) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The windows of pieces: inputs (last and this stride, as buckets), targets (ids; -1 is none), whether each goes on the one before."""
+    s, m = cfg.stride, size - 1
+    rows = -(-m // s)
+    first = np.cumsum(rows) - rows
+    at = spread(m, first * s)
+    source = spread(m, np.cumsum(size) - size)
+    given = np.full(int(rows.sum()) * s, cfg.buckets, dtype=np.int32)  # buckets: none
+    target = np.full(len(given), -1, dtype=np.int32)
+    given[at], target[at] = bucket[flat[source]], flat[source + 1]
+    given, target = given.reshape(-1, s), target.reshape(-1, s)
+    before = np.full_like(given, cfg.buckets)
+    before[1:] = given[:-1]
+    before[first] = cfg.buckets
+    follows, kept = np.ones(len(given), bool), np.ones(len(given), bool)
+    follows[first] = False
+    follows[first[lead] + 1] = False
+    kept[first[lead]] = False
+    return np.concatenate([before[kept], given[kept]], axis=1), target[kept], follows[kept]
+
+
+def gradient(p: dict, ch: Channels, follow: Follow, u: np.ndarray, target: np.ndarray, cfg: LmConfig, follows: np.ndarray | None = None) -> dict[str, np.ndarray]:
+    """The gradient of the mean log-probability of the targets' classes; the other factors have no weights.
+
+    A window that ``follows`` the one before shares that one's ids as its context, so what both say about
+    these ids is added up before it is summed by bucket.
+    """
+    s, d, n = cfg.stride, cfg.dim, len(u)
+    u = u.astype(np.intp)
+    last, early = u[:, s:], u[:, :s]
+    keyed, asked = tables(p, cfg)
+    mask, far = distances(p["near"], cfg)
+    k, o = keyed.take(u, axis=0), asked.take(last, axis=0)
+    v, k, q = k[..., d:], k[..., :d], o[..., :d]
+    w = np.matmul(q, k.transpose(0, 2, 1))
+    exp_of(w)
+    w *= mask
+    w[early[:, 0] == cfg.buckets, :, :s] = 0  # a text's first window has no context; later places without a bucket come after all targets
+    a = np.matmul(w, v)
+    inverse = 1 / np.maximum(a[..., d:], np.float32(1e-30))
+    a = a[..., :d] * inverse
+    h = (a + o[..., d:]).reshape(-1, d)
+    z = h @ p["u"]
+    exp_of(z)
+    z *= (follow.prior * np.exp(np.minimum(p["c"], 60))).take(np.minimum(last, cfg.buckets - 1).ravel(), axis=0)
+    t = target.ravel()
+    on = np.flatnonzero(t >= 0)
+    share = np.float32(1 / max(len(on), 1))
+    scale = np.zeros(len(t), np.float32)
+    scale[on] = -share / np.maximum((z @ np.ones(z.shape[1], np.float32))[on], np.float32(1e-30))
+    z *= scale[:, None]
+    z.ravel()[on * z.shape[1] + follow.cls[ch.bucket[t[on]]]] += share
+    g = {"u": h.T @ z, "c": np.ones(len(z), np.float32) @ z}
+    dh = (z @ p["u"].T).reshape(n, s, d)
+    dv = np.empty((n, s, d + 1), np.float32)
+    np.multiply(dh, inverse, out=dv[..., :d])
+    dv[..., d] = -np.einsum("nsd,nsd->ns", dv[..., :d], a)
+    dw = np.matmul(dv, v.transpose(0, 2, 1))
+    dw *= w
+    context = np.concatenate([np.matmul(dw.transpose(0, 2, 1), q), np.matmul(w.transpose(0, 2, 1), dv[..., :d])], axis=2)
+    both = np.concatenate([context[:, s:], np.matmul(dw, k) * np.float32(d**-0.5), dh], axis=2)
+    context = context[:, :s]
+    on_one = np.zeros(n, bool) if follows is None else follows.copy()
+    on_one[:1] = False
+    again = np.flatnonzero(on_one)
+    both[again - 1, :, : 2 * d] += context[again]
+    alone = np.flatnonzero(~on_one & (early[:, 0] != cfg.buckets))
+    ids, rest = early[alone].ravel(), context[alone].reshape(-1, 2 * d)
+    both = both.reshape(-1, 4 * d)
+    maps = p["w"]
+    g["w"] = p["e"].take(last.ravel(), axis=0).T @ both
+    g["w"][:, : 2 * d] += p["e"].take(ids, axis=0).T @ rest
+    rows = np.concatenate([both @ maps.T, rest @ maps[:, : 2 * d].T])
+    place = (np.concatenate([last.ravel(), ids])[:, None] * d + np.arange(d)).ravel()
+    g["e"] = np.bincount(place, rows.ravel(), p["e"].size).reshape(p["e"].shape).astype(np.float32)
+    g["near"] = np.bincount(far.ravel(), dw.sum(0).ravel(), 2 * s).astype(np.float32)
     return g
 
 
@@ -383,16 +471,17 @@ class Climb:
         self.m, self.v = ({k: np.zeros_like(x) for k, x in p.items()} for _ in range(2))
         self.ch, self.follow, self.cfg = ch, follow, cfg
         self.steps = self.seen = 0
-        self.left: tuple[np.ndarray, np.ndarray] | None = None
+        self.left: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
 
-    def add(self, u: np.ndarray, target: np.ndarray) -> None:
+    def add(self, u: np.ndarray, target: np.ndarray, follows: np.ndarray | None = None) -> None:
         self.seen += len(u)
+        follows = np.zeros(len(u), bool) if follows is None else follows
         if self.left is not None:
-            u, target = np.concatenate([self.left[0], u]), np.concatenate([self.left[1], target])
+            u, target, follows = (np.concatenate(x) for x in zip(self.left, (u, target, follows), strict=True))
         full = len(u) - len(u) % self.cfg.steps_of
         for a in range(0, full, self.cfg.steps_of):
-            self.step(u[a : a + self.cfg.steps_of], target[a : a + self.cfg.steps_of])
-        self.left = u[full:], target[full:]
+            self.step(*(x[a : a + self.cfg.steps_of] for x in (u, target, follows)))
+        self.left = u[full:], target[full:], follows[full:]
 
     def end(self) -> dict:
         """The weights, after a last step on what is left."""
@@ -401,10 +490,10 @@ class Climb:
             self.left = None
         return self.p
 
-    def step(self, u: np.ndarray, target: np.ndarray) -> None:
+    def step(self, u: np.ndarray, target: np.ndarray, follows: np.ndarray) -> None:
         self.steps += 1
         one, two = self.cfg.rate / (1 - 0.9**self.steps), 1 / (1 - 0.99**self.steps)
-        for k, x in gradient(self.p, self.ch, self.follow, u, target, self.cfg).items():
+        for k, x in gradient(self.p, self.ch, self.follow, u, target, self.cfg, follows).items():
             m, v = self.m[k], self.v[k]
             m += np.float32(0.1) * (x - m)
             x *= x
@@ -416,66 +505,40 @@ class Climb:
             self.p[k] += root
 
 
-def packed_ids(flat: np.ndarray, n: np.ndarray) -> bytes:
-    """The ids of a block's texts as one value: how many texts, each one's ids, and all ids."""
-    return np.uint32(len(n)).tobytes() + n.astype("<u4").tobytes() + flat.astype("<u2").tobytes()
-
-
-def unpacked_ids(raw) -> tuple[np.ndarray, np.ndarray]:
-    k = int(np.frombuffer(raw, "<u4", 1)[0])
-    return np.frombuffer(raw, "<u2", offset=4 + 4 * k), np.frombuffer(raw, "<u4", k, 4).astype(np.int64)
-
-
-def windows(docs: DataFrame, shared, cfg: LmConfig) -> DataFrame:
-    """kind 2: counts of bucket pairs; kind 3: the ids of all training documents, a row for each block of them."""
+def pair_counts(seen: DataFrame, shared, cfg: LmConfig) -> DataFrame:
+    """key, n: how often a bucket follows a bucket (last * buckets + next), over all pieces."""
 
     def run(batches):
-        code, ch = subwords(cfg), shared.value
+        ch = shared.value
         pairs, waiting = np.zeros(cfg.buckets * cfg.buckets, dtype=np.int64), []
         for batch in batches:
-            for _, _, data, off in hashing.blocks(batch.column(0)):
-                w = hashing.words(data, off)
-                unique, where, back, _ = distinct(w.hash)
-                flat, n = code.ids(w, data, unique, where, back)
-                u, target, _ = chunks(flat, n, ch.bucket, code.end, cfg)
-                on = target >= 0
-                waiting.append(u[:, cfg.stride :][on] * np.int32(cfg.buckets) + ch.bucket[target[on]])
+            for x in batch.column(0):
+                flat, size, lead = unpacked(x.as_buffer())
+                m = size - 1 - cfg.stride * lead  # without the context that leads
+                at = spread(m, np.cumsum(size) - m - 1)
+                waiting.append(ch.bucket[flat[at]] * np.int64(cfg.buckets) + ch.bucket[flat[at + 1]])
                 if len(waiting) == 16:
                     pairs += np.bincount(np.concatenate(waiting), minlength=len(pairs))
                     waiting = []
-                yield pa.RecordBatch.from_arrays([pa.array([3], pa.int32()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([packed_ids(flat, n)], pa.binary())], ["kind", "key", "n", "w"])
         if waiting:
             pairs += np.bincount(np.concatenate(waiting), minlength=len(pairs))
         keys = np.flatnonzero(pairs)
-        for b in count_batches(2, keys.astype(np.uint64), pairs[keys]):
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.nulls(b.num_rows, pa.binary())], ["kind", "key", "n", "w"])
-
-    return docs.filter(~held_out(cfg)).select("text").mapInArrow(run, "kind int, key long, n long, w binary")
+        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(pairs[keys])], ["key", "n"])
 
-
-def mixed_windows(flat: np.ndarray, n: np.ndarray, bucket: np.ndarray, r: np.random.Generator, cfg: LmConfig):
-    """Every window of a block's texts once, in a random order, so that a step isn't one long text's."""
-    u, target, _ = chunks(flat, n, bucket, len(bucket) - 1, cfg)
-    order = r.permutation(len(u))
-    most = 64 * cfg.steps_of
-    for a in range(0, len(order), most):
-        yield u[order[a : a + most]], target[order[a : a + most]]
+    return seen.select("w").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
 
 def averaged(seen: DataFrame, shared, weights: dict, cfg: LmConfig) -> dict:
-    """One round: every task climbs on its windows; the weights are averaged by how many windows each saw."""
+    """Every task climbs on its windows of ``seen``; the weights are averaged by how many windows each saw."""
     names = list(weights)
     sent = seen.sparkSession.sparkContext.broadcast(weights)
 
     def run(batches):
         ch, follow = shared.value
         task = Climb(sent.value, ch, follow, cfg)
-        r = np.random.default_rng(7)
         for b in batches:
             for x in b.column(0):
-                flat, n = unpacked_ids(x.as_buffer())
-                for u, target in mixed_windows(flat, n, ch.bucket, r, cfg):
-                    task.add(u, target)
+                task.add(*laid_out(*unpacked(x.as_buffer()), ch.bucket, cfg))
         if task.seen:
             p = task.end()
             flat = np.concatenate([p[k].ravel() for k in names]).astype(np.float64) * task.seen
@@ -509,7 +572,8 @@ class Model:
 def train(docs: DataFrame, cfg: LmConfig) -> tuple[Model, DataFrame]:
     """The model, and the counts of all words (key, n)."""
     sc = docs.sparkSession.sparkContext
-    sums = cut(counted(docs, cfg), "counts")
+    seen = cut(gathered(docs, cfg), "gathered")
+    sums = cut(seen.filter("kind < 2").groupBy("kind", "key").agg(F.sum("n").alias("n")), "counts")
     words_ = sums.filter("kind = 0").select("key", "n")
     n, v = words_.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     often = words_.filter(F.col("n") * cfg.frequent >= n).toArrow()  # at most ``frequent`` words have so many of N
@@ -519,14 +583,13 @@ def train(docs: DataFrame, cfg: LmConfig) -> tuple[Model, DataFrame]:
     ids = np.zeros(subwords(cfg).n, dtype=np.float64)
     ids[np.asarray(got.column("key"))] = np.asarray(got.column("n"))
     channels = Channels(ids, cfg)
-    seen = cut(windows(docs, sc.broadcast(channels), cfg), "windows")
-    got = seen.filter("kind = 2").groupBy("key").agg(F.sum("n").alias("n")).toArrow()  # buckets squared at most
+    got = pair_counts(seen.filter("kind = 3"), sc.broadcast(channels), cfg).toArrow()  # buckets squared at most
     pairs = np.zeros(cfg.buckets * cfg.buckets)
     pairs[np.asarray(got.column("key"))] = np.asarray(got.column("n"))
     follow = Follow(pairs.reshape(cfg.buckets, cfg.buckets), channels.unigram, cfg)
     shared, weights = sc.broadcast((channels, follow)), start_weights(cfg)
-    for _ in range(cfg.rounds):
-        weights = averaged(seen.filter("kind = 3"), shared, weights, cfg)
+    for part in range(len(cfg.parts)):
+        weights = averaged(seen.filter(f"kind = 3 and key = {part}"), shared, weights, cfg)
     return Model(channels, follow, weights, key[order], c[order], int(n), int(v)), words_
 
 
@@ -539,16 +602,15 @@ class Scorer:
     """
 
     def __init__(self, m: Model, cfg: LmConfig):
-        p, s = m.weights, cfg.stride
+        p, d = m.weights, cfg.dim
         self.m, self.cfg = m, cfg
-        one, gone = np.ones((cfg.buckets + 1, 1), np.float32), np.zeros((cfg.buckets + 1, 1), np.float32)
+        keyed, asked = tables(p, cfg)
+        gone = np.zeros((cfg.buckets + 1, 1), np.float32)
         gone[-1] = -1e4
-        self.queries = np.concatenate([p["eq"] * np.float32(cfg.dim**-0.5), one], axis=1)
-        self.keys = np.concatenate([p["ek"], gone], axis=1)
-        self.values = np.concatenate([p["ev"], one], axis=1)
-        far = np.clip(np.arange(s)[:, None] + s - np.arange(2 * s)[None, :], 0, 2 * s - 1)
-        self.mask = np.where(causal(cfg), np.exp(np.clip(p["near"], -30, 30))[far], 0).astype(np.float32)
-        own = p["er"][:-1] @ p["u"] + p["c"]
+        self.keyed = np.concatenate([keyed[:, :d], gone, keyed[:, d:]], axis=1)
+        self.queries = np.concatenate([asked[:, :d], np.ones((cfg.buckets + 1, 1), np.float32)], axis=1)
+        self.mask, _ = distances(p["near"], cfg)
+        own = asked[:-1, d:] @ p["u"] + p["c"]
         self.prior = m.follow.prior * np.exp(own - own.max(axis=1, keepdims=True))
         self.within = m.follow.within.ravel()
         self.cls = m.follow.cls[m.channels.bucket].astype(np.int32)  # of ids
@@ -556,23 +618,21 @@ class Scorer:
 
     def logs(self, u: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """log10 of the probability of every target, and their flat places."""
-        ch, s = self.m.channels, self.cfg.stride
+        ch, s, d = self.m.channels, self.cfg.stride, self.cfg.dim
         u = u.astype(np.intp)
         last = u[:, s:]
-        w = np.matmul(self.queries.take(last, axis=0), self.keys.take(u, axis=0).transpose(0, 2, 1))
-        np.minimum(w, 60, out=w)
-        np.exp(w, out=w)
+        k = self.keyed.take(u, axis=0)
+        w = np.matmul(self.queries.take(last, axis=0), k[..., : d + 1].transpose(0, 2, 1))
+        exp_of(w)
         w *= self.mask
-        h = np.matmul(w, self.values.take(u, axis=0))
-        h = h[:, :, :-1] / np.maximum(h[:, :, -1:], 1e-30)
-        z = h.reshape(-1, self.cfg.dim) @ self.m.weights["u"]
-        if z.max(initial=0) > 60:
-            z -= z.max(axis=1, keepdims=True)
-        np.exp(z, out=z)
-        z *= self.prior.take(np.minimum(last, self.cfg.buckets - 1).ravel(), axis=0)  # no last bucket: no target
+        h = np.matmul(w, k[..., d + 1 :])
+        h = h[..., :d] / np.maximum(h[..., d:], np.float32(1e-30))
         on = np.flatnonzero(target.ravel() >= 0)
         t, before = target.ravel()[on], last.ravel()[on]
-        x = z.ravel()[on * z.shape[1] + self.cls[t]] / (z @ self.ones)[on]
+        z = h.reshape(-1, d).take(on, axis=0) @ self.m.weights["u"]
+        exp_of(z)
+        z *= self.prior.take(before, axis=0)
+        x = z.ravel()[np.arange(len(on)) * z.shape[1] + self.cls[t]] / (z @ self.ones)
         x *= self.within.take(before * self.cfg.buckets + ch.bucket[t])
         x *= ch.in_bucket[t]
         return np.log10(np.maximum(x, 1e-30)), on

@@ -187,7 +187,10 @@ def test_lm_gradient_and_windows():
         m = lm.Model(ch, fo, {k: x.astype(np.float32) for k, x in q.items()}, None, None, 0, 0)
         return lm.Scorer(m, cfg).logs(u, target)[0].astype(np.float64).mean() * np.log(10)
 
-    g = lm.gradient({k: x.astype(np.float32) for k, x in p.items()}, ch, fo, u, target, cfg)
+    p32 = {k: x.astype(np.float32) for k, x in p.items()}
+    g = lm.gradient(p32, ch, fo, u, target, cfg)
+    follows = np.array([k > 0 and text[k] == text[k - 1] for k in range(len(u))])
+    assert all(np.allclose(x, g[k], atol=1e-6) for k, x in lm.gradient(p32, ch, fo, u, target, cfg, follows).items())
     for k in p:
         d = r.standard_normal(p[k].shape)
         up, down = ({**p, k: p[k] + e * d} for e in (1e-2, -1e-2))
@@ -204,12 +207,15 @@ def test_lm_trains_on_every_window(spark):
     cfg = lm.LmConfig(stride=4)
     code = lm.subwords(cfg)
     ch = lm.Channels(np.ones(code.n), cfg)
-    got = lm.windows(docs, spark.sparkContext.broadcast(ch), cfg).filter("kind = 3").select("w").collect()
+    got = lm.gathered(docs, cfg).filter("kind = 3").select("key", "w").collect()
+    assert {g.key for g in got} <= set(range(len(cfg.parts)))
     seen = collections.Counter()
     for g in got:
-        flat, n = lm.unpacked_ids(bytes(g.w))
-        for u, target in lm.mixed_windows(flat, n, ch.bucket, np.random.default_rng(0), cfg):
-            seen.update(x.tobytes() for x in target)
+        u, target, follows = lm.laid_out(*lm.unpacked(bytes(g.w)), ch.bucket, cfg)
+        seen.update(a.tobytes() + b.tobytes() for a, b in zip(u, target, strict=True))
+        assert not follows[0] and all(np.array_equal(u[k, :4], u[k - 1, 4:]) for k in np.flatnonzero(follows))
+    pairs = {r.key: r.n for r in lm.pair_counts(lm.gathered(docs, cfg).filter("kind = 3"), spark.sparkContext.broadcast(ch), cfg).collect()}
+    after = collections.Counter()
     want = collections.Counter()
     for i, t in [*rows, (50, None)]:
         if zlib.crc32(str(i).encode()) % 7 != 2:
@@ -217,8 +223,10 @@ def test_lm_trains_on_every_window(spark):
             w = hashing.words(data, off)
             unique, where, back, _ = lm.distinct(w.hash)
             flat, n = code.ids(w, data, unique, where, back)
-            want.update(x.tobytes() for x in lm.chunks(flat, n, ch.bucket, code.end, cfg)[1])
-    assert seen == want and sum(want.values()) > 15 * 150
+            u, target, _ = lm.chunks(flat, n, ch.bucket, code.end, cfg)
+            want.update(a.tobytes() + b.tobytes() for a, b in zip(u, target, strict=True))
+            after.update((u[:, 4:][target >= 0] * np.int64(cfg.buckets) + ch.bucket[target[target >= 0]]).tolist())
+    assert seen == want and sum(want.values()) > 15 * 150 and pairs == after
 
 
 def test_lm_steps_take_all_windows_in_any_portions():
