@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from skein.config import DedupConfig, stamp
 from skein.functions import text as T
 from skein.operators.graph import checkpointed
+from skein.session import ship
 
 
 def oriented(df: DataFrame, x: str, y: str) -> DataFrame:
@@ -128,6 +129,7 @@ def band_keys(hashed: DataFrame, cfg: DedupConfig = DedupConfig()) -> DataFrame:
             n = len(sizes)
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.asarray(batch.column(0)), cfg.bands)), pa.array(np.tile(np.arange(cfg.bands, dtype=np.int32), n)), pa.array(keys.ravel().view(np.int64))], ["doc_id", "band", "key"])
 
+    ship(hashed.sparkSession)
     return hashed.mapInArrow(run, "doc_id long, band int, key long")
 
 

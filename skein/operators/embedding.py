@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -9,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skein.session import ship
+
 Encoder = Callable[[list[str]], np.ndarray]
 
 
@@ -19,8 +22,8 @@ def hashed_encoder(dim: int = 64) -> Encoder:
         out = np.zeros((len(texts), dim))
         for i, t in enumerate(texts):
             for w in t.lower().split():
-                h = int.from_bytes(w.encode()[:8].ljust(8, b"\0"), "little") * 0x9E3779B97F4A7C15 & (1 << 64) - 1
-                out[i, h >> 58] += 1 if h >> 57 & 1 else -1
+                h = int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "little")
+                out[i, (h >> 1) % dim] += 1 if h & 1 else -1
         return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
 
     return encode
@@ -33,16 +36,17 @@ def pending(docs: DataFrame, present: DataFrame, stamp: str) -> DataFrame:
 
 
 def encoded(texts: DataFrame, encode: Encoder, stamp: str, ladder: tuple[int, ...] = (10_000, 8_000, 6_000, 4_000)) -> DataFrame:
-    """sha256, stamp, vector, used: a text that fails is tried again shorter, down the ladder; null if all fail."""
+    """sha256, stamp, vector, used: the whole text; one that fails is tried again shorter, down the ladder; null if all fail."""
+    ship(texts.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
             for sha, text in zip(pdf["sha256"], pdf["text"], strict=True):
                 vector = used = None
-                for n in ladder:
+                for n in (len(text), *(x for x in ladder if x < len(text))):
                     try:
-                        vector, used = encode([text[:n]])[0].astype("float32"), min(n, len(text))
+                        vector, used = encode([text[:n]])[0].astype("float32"), n
                         break
                     except ValueError:
                         continue

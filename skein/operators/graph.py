@@ -2,20 +2,15 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from skein.session import shared_folder
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared checkpoint folder; a folder of our own only where none is set."""
-    sc = df.sparkSession.sparkContext
-    at = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-    if not at and sc.getCheckpointDir() is None:
-        import tempfile
 
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix=f"skein-{uuid.uuid4().hex[:8]}-"))
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared checkpoint folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

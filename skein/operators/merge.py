@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from skein.config import MergeConfig
+from skein.session import ship
 
 _TOKEN = re.compile("[a-z0-9]+")
 
@@ -44,6 +45,7 @@ def grouped_statements(df: DataFrame, cluster: str, member: str, statement: str,
         rows.sort(key=lambda r: (-r[1], r[0]))
         return pd.DataFrame([(pdf[cluster].iloc[0], r, n, i, i < cfg.max_statements) for i, (r, n) in enumerate(rows)], columns=[cluster, "representative", "members", "place", "kept"])
 
+    ship(df.sparkSession)
     return df.select(cluster, member, statement).groupBy(cluster).applyInPandas(one, f"{cluster} long, representative string, members int, place int, kept boolean")
 
 
@@ -64,4 +66,5 @@ def word_diffs(df: DataFrame, keys: list[str]) -> DataFrame:
                             place += 1
             yield pd.DataFrame(rows, columns=[*keys, "place", "kind", "words"])
 
+    ship(df.sparkSession)
     return df.mapInPandas(run, f"{types}, place int, kind string, words string")

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.functions import numbers as N
+from skein.session import ship
 
 NOT_STATED = "(not stated)"
 
@@ -82,6 +86,7 @@ def neighbours_in_bucket(rows: DataFrame, k: int, key: str = "vec_id", vector: s
         out = pd.DataFrame({"_k": np.repeat(ids, at.shape[1]), "other": near[at].ravel(), "score": np.take_along_axis(s, at, axis=1).ravel()})
         return out[out["score"] > -np.inf]
 
+    ship(rows.sparkSession)
     best = ask.groupBy("_g", "_b", "_o").cogroup(have.groupBy("g2", "b2", "o2")).applyInPandas(nearest, "_k long, other long, score double")
     w = Window.partitionBy("_k").orderBy(F.desc("score"), F.asc("other"))
     return best.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).withColumnRenamed("_k", key)
@@ -102,15 +107,31 @@ def runs(df: DataFrame, by: list[str], order: str, value: str) -> DataFrame:
     return marked.groupBy(*by, "run").agg(F.min(value).alias("value"), F.min(order).alias("first"), F.max(order).alias("last"), F.count(F.lit(1)).alias("n"))
 
 
-def hash_chain(df: DataFrame, by: list[str], order: list[str], payload: Column) -> DataFrame:
+def hash_chain(df: DataFrame, by: list[str], order: list[str], payload: Column, raw: bool = True) -> DataFrame:
     """Every row's hash over the hash before it and its own payload, within its partition of the log.
 
-    The fold is sequential by nature, so it runs once for each key, in order, and the rows come back
-    with their hashes. The first row's predecessor is the byte 0.
+    The fold is sequential by nature: a key's rows come to one task, sorted (spilled to disk where they
+    are many), and stream through it with nothing kept but the last hash. The first row's predecessor
+    is the byte 0. ``raw``: over the hash's bytes, else over its hexadecimal digits.
     """
-    rows = F.sort_array(F.collect_list(F.struct(*order, payload.alias("payload"))))
-    start = F.struct(F.lit("00").alias("h"), F.array().cast("array<string>").alias("all"))
-    step = lambda a, x: F.sha2(F.concat(F.unhex(a["h"]), x["payload"].cast("binary")), 256)
-    fold = lambda r: F.aggregate(r, start, lambda a, x: F.struct(step(a, x).alias("h"), F.array_append(a["all"], step(a, x)).alias("all")), lambda a: a["all"])
-    one = df.groupBy(*by).agg(rows.alias("_r")).withColumn("_h", fold(F.col("_r")))
-    return one.select(*by, F.explode(F.arrays_zip("_r", "_h")).alias("x")).select(*by, *[F.col(f"x._r.{o}").alias(o) for o in order], F.col("x._h").alias("row_hash"))
+    ship(df.sparkSession)
+    names = [*by, *order]
+    rows = df.select(*names, payload.cast("binary").alias("_payload")).repartition(*by).sortWithinPartitions(*names)
+    n = len(by)
+
+    def run(batches):
+        start = b"\0" if raw else b"00"
+        key, last = None, start
+        for batch in batches:
+            keys = list(zip(*(batch.column(c).to_pylist() for c in range(n)), strict=True))
+            out = []
+            for k, p in zip(keys, batch.column(len(names)).to_pylist(), strict=True):
+                if k != key:
+                    key, last = k, start
+                one = hashlib.sha256(last + (p or b""))
+                last = one.digest() if raw else one.hexdigest().encode()
+                out.append(one.hexdigest())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out, pa.string())], [*names, "row_hash"])
+
+    types = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in names)
+    return rows.mapInArrow(run, f"{types}, row_hash string")
