@@ -13,16 +13,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.llm import decontam, neardup, packing, pii, quality
-from skein.llm.common import cut, numbered, table
+from skein.llm.common import cut, numbered, table, unused
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality model accepts. Rows of one doc_id share the verdict on their best row."""
-    scores = quality.quality_scores(docs, table(spark, sf_dir, "labels"))
-    good = scores.groupBy("doc_id").agg(F.max("score").alias("_score")).filter("_score >= 0.3").select(F.col("doc_id").alias("_id"))
-    return docs.join(good, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    """Documents that the quality model accepts. Each row is judged by its own text; a null text is an empty one."""
+    row, score = unused(docs, "_row"), unused(docs, "_score")
+    rows = numbered(docs, "quality-rows", row)
+    scores = quality.quality_scores(rows, table(spark, sf_dir, "labels"), by=row).select(F.col("id").alias(row), F.col("score").alias(score))
+    return rows.join(scores.filter(F.col(score) >= 0.3).select(row), row, "left_semi").select(*docs.columns)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,25 +32,26 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     Rows are told apart by numbers of this stage, so rows without a doc_id, or of one doc_id, are kept or
     go by their texts. A row without a doc_id stands for a group only if no other can.
     """
-    rows = numbered(docs, "near-rows")
-    groups = neardup.near_duplicates(rows.select(F.col("_row").alias("doc_id"), "text")).select(F.col("doc_id").alias("_of"), F.col("component_id").alias("_group"))
-    ids = rows.select("_row", "doc_id").join(groups, F.col("_row") == F.col("_of"))
-    kept = ids.groupBy("_group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")).alias("_first")).select(F.col("_first._row").alias("_id"))
-    return rows.join(kept, F.col("_row") == F.col("_id"), "left_semi").drop("_row")
+    row = unused(docs, "_row")
+    rows = numbered(docs, "near-rows", row)
+    groups = neardup.near_duplicates(rows.select(F.col(row).alias("doc_id"), "text")).select(F.col("doc_id").alias(row), F.col("component_id").alias("group"))
+    ids = rows.select(row, F.col("doc_id").alias("id")).join(groups, row)
+    kept = ids.groupBy("group").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", F.col(row).alias("row"))).alias("first")).select(F.col("first.row").alias(row))
+    return rows.join(kept, row, "left_semi").select(*docs.columns)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the benchmark doesn't contaminate."""
+    """Documents that the benchmark doesn't contaminate; each row by its own text."""
     return decontam.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The same documents with personal data replaced in their texts."""
+    """The same documents with personal data replaced in their texts; null texts stay null, whatever the doc_id."""
     return pii.redact(docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of packed sequences, with their ids."""
+    """Pieces of packed sequences; a document without a doc_id has pieces without one, a null text its end token alone."""
     pieces = packing.pack(docs)
     return packing.digest(pieces)
 

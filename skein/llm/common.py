@@ -1,18 +1,15 @@
-"""What the corpus operators share: inputs, the shared work folder and shipping of this package."""
+"""What the corpus operators share: inputs, tables in the shared folder, numbered rows and batch sizes."""
 
 from __future__ import annotations
 
-import atexit
-import os
-import shutil
-import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skein import session
+from skein.session import shared_folder
+
 #: Bytes of text handled at a time in a Python worker (one longer text is handled alone).
 BLOCK_BYTES = 1 << 20
 #: Bytes of an Arrow batch between the JVM and Python, where the session has no size of its own.
@@ -25,52 +22,34 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def work_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or our own where it is unset."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = tempfile.mkdtemp(prefix="skein-")
-        atexit.register(shutil.rmtree, at, True)
-        spark.conf.set("spark.checkpoint.dir", at)
-        spark.sparkContext.setCheckpointDir(at)
-    return at
-
-
 def cut(df: DataFrame, tag: str, by: tuple[str, ...] = ()) -> DataFrame:
     """``df`` written to the shared folder and read back: lost executors can't undo it, later plans start at it."""
     spark = df.sparkSession
-    path = f"{work_dir(spark).rstrip('/')}/skein/{tag}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark).rstrip('/')}/skein/{tag}-{uuid.uuid4().hex}"
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(*by) if by else writer).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def numbered(df: DataFrame, tag: str) -> DataFrame:
-    """``df`` with a column ``_row`` of its own for each row, written, so that every later plan reads the same numbers."""
-    return cut(df.withColumn("_row", F.monotonically_increasing_id()), tag)
+def numbered(df: DataFrame, tag: str, name: str = "_row") -> DataFrame:
+    """``df`` with a column ``name`` that numbers its rows, written, so that every later plan reads the same numbers."""
+    return cut(df.withColumn(name, F.monotonically_increasing_id()), tag)
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """A name that no column of ``df`` has, whatever its case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the Python workers, once for each Spark context, and keep Arrow batches small.
+    """Send this package to the Python workers, and keep Arrow batches small.
 
     Batches of whole texts are held several times over (in the JVM, in the pipe and in Python), so a
     session that has the default size of a batch gets ``BATCH_BYTES``; one that sets its own keeps it.
     """
-    sc = spark.sparkContext
     if spark.conf.get(BATCH_KEY) in ("67108864b", "67108864", "64m", "64MB"):
         spark.conf.set(BATCH_KEY, str(BATCH_BYTES))
-    if getattr(sc, "_skein_shipped", False):
-        return
-    root = Path(__file__).resolve().parents[1]
-    at = os.path.join(tempfile.mkdtemp(prefix="skein-ship-"), "skein.zip")
-    with zipfile.ZipFile(at, "w") as z:
-        for p in sorted(root.rglob("*.py")):
-            z.write(p, f"{root.name}/{p.relative_to(root)}")
-    sc.addPyFile(at)
-    shutil.rmtree(os.path.dirname(at), ignore_errors=True) if not sc.master.startswith("local") else atexit.register(shutil.rmtree, os.path.dirname(at), True)
-    sc._skein_shipped = True
-
-
-def rows_of(df: DataFrame, *names: str) -> DataFrame:
-    """Only the named columns, by position-safe names: extra columns never reach an operator."""
-    return df.select(*[df[n] for n in names])
+    session.ship(spark)

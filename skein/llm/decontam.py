@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import hashing
-from .common import cut, numbered, ship, table
+from .common import cut, numbered, ship, table, unused
 
 #: Bytes of text in a shard (a longer document is a shard of its own).
 SHARD_BYTES = 1 << 21
@@ -231,11 +231,16 @@ def contamination(docs: DataFrame, benchmark: DataFrame, cfg: DecontamConfig = D
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, cfg: DecontamConfig = DecontamConfig()) -> DataFrame:
-    """``docs`` without the contaminated rows; each is judged by its own text, whatever its doc_id."""
-    rows = numbered(docs, "rows")
-    own = rows.select(F.col("_row").alias("doc_id"), "text")
-    bad = contamination(own, benchmark, cfg).filter((F.col("n_hit") > 0) & (cfg.share * F.col("n_hit") >= F.col("n_words"))).select(F.col("doc_id").alias("_bad"))
-    return rows.join(bad, F.col("_row") == F.col("_bad"), "left_anti").drop("_row")
+    """``docs`` without the contaminated rows, with all its columns.
+
+    Each row is judged by its own text: rows without a doc_id, or of one doc_id, stay or go alone, and
+    rows without a text stay.
+    """
+    row = unused(docs, "_row")
+    rows = numbered(docs, "rows", row)
+    own = rows.select(F.col(row).alias("doc_id"), "text")
+    bad = contamination(own, benchmark, cfg).filter((F.col("n_hit") > 0) & (cfg.share * F.col("n_hit") >= F.col("n_words"))).select(F.col("doc_id").alias(row))
+    return rows.join(bad, row, "left_anti").select(*docs.columns)
 
 
 def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -71,7 +71,7 @@ def features(data: np.ndarray, off: np.ndarray) -> np.ndarray:
     length = w.end - w.start
     ends = data[w.end - 1] if len(w.end) else np.zeros(0, np.uint8)
     out[:, 0] = np.log1p(n)
-    out[:, 1] = per_words(np.minimum(length, 200)) / some
+    out[:, 1] = per_words(length) / some
     out[:, 2] = per_text(symbol[data]) / some
     out[:, 3] = per_words(same) / some
     out[:, 5] = up / np.maximum(up + per_text(lower[data]), 1)
@@ -88,7 +88,7 @@ def features(data: np.ndarray, off: np.ndarray) -> np.ndarray:
     for k in range(n_texts):
         a, b = w.first[k], w.first[k + 1]
         if b > a:
-            out[k, 4] = len(np.unique(w.hash[a:b])) / min(b - a, 500)
+            out[k, 4] = len(np.unique(w.hash[a:b])) / (b - a)
         if b - a > 5:
             own = grams[a : b - 4]
             out[k, 11] = 1 - len(np.unique(own)) / len(own)
@@ -199,22 +199,23 @@ def fit(x: np.ndarray, y: np.ndarray, cfg: GamConfig = GamConfig()) -> Gam:
     return Gam(base, cuts, tables, pairs)
 
 
-def featured(docs: DataFrame) -> DataFrame:
-    """doc_id and x, the features, of every row."""
+def featured(docs: DataFrame, by: str = "doc_id") -> DataFrame:
+    """id (the column ``by``), doc_id and x, the features, of every row."""
 
     def run(batches):
         for batch in batches:
-            for i, j, data, off in hashing.blocks(batch.column(1)):
+            for i, j, data, off in hashing.blocks(batch.column(2)):
                 x = features(data, off)
                 flat = pa.array(x.ravel())
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, len(FEATURES)), pa.int32()), flat)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i).cast(pa.int64()), lists], ["doc_id", "x"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, j - i).cast(pa.int64()) for c in (0, 1)), lists], ["id", "doc_id", "x"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, x array<double>")
+    return docs.select(F.col(by).alias("id"), "doc_id", "text").mapInArrow(run, "id long, doc_id long, x array<double>")
 
 
 def held_out(doc_id: str = "doc_id"):
-    return F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(5)) == 0
+    """Whether a row is kept from the fit; one without a doc_id isn't held out, nor has it labels."""
+    return F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(5)) == 0, F.lit(False))
 
 
 def train(rows: DataFrame, labels: DataFrame, cfg: GamConfig = GamConfig()) -> Gam:
@@ -227,25 +228,25 @@ def train(rows: DataFrame, labels: DataFrame, cfg: GamConfig = GamConfig()) -> G
 
 
 def scored(rows: DataFrame, model: Gam) -> DataFrame:
-    """doc_id, score of featured rows: bin look-ups and additions on whole batches."""
+    """id, score of featured rows: bin look-ups and additions on whole batches."""
     shared = rows.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         m = shared.value
         for batch in batches:
             x = np.asarray(batch.column(1).flatten()).reshape(-1, len(FEATURES))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(m.scores(x))], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(m.scores(x))], ["id", "score"])
 
-    return rows.mapInArrow(run, "doc_id long, score double")
+    return rows.select("id", "x").mapInArrow(run, "id long, score double")
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, cfg: GamConfig = GamConfig()) -> DataFrame:
-    """doc_id and score for every row of ``docs`` (doc_id, text), learnt from ``labels`` (doc_id, quality)."""
+def quality_scores(docs: DataFrame, labels: DataFrame, cfg: GamConfig = GamConfig(), by: str = "doc_id") -> DataFrame:
+    """id (the column ``by``) and score for every row of ``docs`` (doc_id, text), learnt from ``labels`` (doc_id, quality)."""
     ship(docs.sparkSession)
-    rows = cut(featured(docs), "features")
+    rows = cut(featured(docs, by), "features")
     return scored(rows, train(rows, labels, cfg))
 
 
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    out = quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).withColumnRenamed("id", "doc_id")
     return out.select("doc_id", held_out().alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))

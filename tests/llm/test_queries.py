@@ -31,7 +31,7 @@ def test_pipeline_stages(spark, data):
         kept[name] = {r.doc_id for r in now.select("doc_id").collect()}
         own = {r.doc_id for r in before.select("doc_id").collect()}
         if name == "quality":
-            assert kept[name] == {r.doc_id for r in quality.quality_scores(before, labels).collect() if r.score >= 0.3}
+            assert kept[name] == {r.id for r in quality.quality_scores(before, labels).collect() if r.score >= 0.3}
         elif name == "near_dedup":
             assert kept[name] == {r.doc_id for r in neardup.near_duplicates(before).collect() if r.doc_id == r.component_id}
         elif name == "decontamination":

@@ -116,13 +116,47 @@ def test_quality_odd_rows(spark, odd, none):
     assert len(rows) == odd.count() and all(0 <= r.score <= 1 for r in rows)
     by = collections.defaultdict(set)
     for r in rows:
-        by[r.doc_id].add(r.score)
+        by[r.id].add(r.score)
     assert all(len(s) == 1 for s in by.values())
     assert quality.quality_scores(none, labels).count() == 0
     bare = quality.quality_scores(odd, labels.filter("quality = 9")).collect()
     assert {r.score for r in bare} == {0.5}
 
 
+def plain_features(text):
+    """FEATURES of one text, in plain Python over its bytes."""
+    raw = (text or "").encode()
+    w = re.findall(rb"[^\x20\x09-\x0D]+", raw)
+    n, size = max(len(w), 1), max(len(raw), 1)
+    count = lambda p: len(re.findall(p, raw))
+    grams = [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
+    lines = [tuple(re.findall(rb"[^\x20\x09-\x0D]+", x)) for x in raw.split(b"\n")]
+    lines = [x for x in lines if x]
+    letters = count(rb"[A-Za-z]")
+    return [
+        np.log1p(len(w)), sum(map(len, w)) / n, count(rb"[#*$%&|<>]") / n, sum(a == b for a, b in zip(w, w[1:])) / n, len(set(w)) / n, count(rb"[A-Z]") / max(letters, 1),
+        count(rb"\|") / n, count(rb"!") / n, count(rb"[0-9]") / size, sum(x[-1:] in b".?" for x in w) / n, 1 - len(set(lines)) / len(lines) if lines else 0,
+        1 - len(set(grams)) / len(grams) if len(w) > 5 else 0, sum(len(x) <= 3 for x in w) / n, np.log1p(max(map(len, w), default=0)), count(rb"[\x80-\xff]") / size,
+    ]
+
+
+def test_quality_features_against_plain_python(odd_texts):
+    import pyarrow as pa
+
+    more = [(0, "longword" * 100 + " x " + "y " * 700), (1, "a b c\n\n a  b c \nd"), (2, " ".join(f"w{i}" for i in range(1200)))]
+    every = [*odd_texts, *more]
+    for i, j, data, off in hashing.blocks(pa.array([t for _, t in every], pa.string())):
+        got = quality.features(data, off)
+        for k in range(j - i):
+            assert np.allclose(got[k], plain_features(every[i + k][1]), atol=1e-9), (every[i + k][0], dict(zip(quality.FEATURES, zip(got[k], plain_features(every[i + k][1]), strict=True), strict=True)))
+
+
+def test_quality_of_rows_without_an_id(spark):
+    docs = spark.createDataFrame([(None, "no id here"), (7, None)], "doc_id long, text string")
+    got = docs.select(quality.held_out().alias("h")).collect()
+    assert [r.h for r in got] == [False, zlib.crc32(b"7") % 5 == 0]
+
+
 def test_gam_learns_an_interaction():
     r = np.random.default_rng(0)
     x = np.zeros((4000, len(quality.FEATURES)))
