@@ -17,6 +17,7 @@ from __future__ import annotations
 import html as entities
 import random
 import re
+from bisect import bisect_left
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -40,30 +41,77 @@ CLOSES_P = BLOCKS - {"html", "body", "tr", "td", "th", "thead", "tbody", "tfoot"
 #: An element that a new one of the same row closes, up to the container that bounds the search.
 SIBLINGS = {"li": ({"li"}, {"ul", "ol"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 
-_TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
-    re.S,
-)
+_OPEN = re.compile(r"<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>")
+_SIGN = re.compile("[>\"']")
 _ATTR = re.compile(r"([A-Za-z_:][-\w:.]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
 class Node:
-    __slots__ = ("tag", "words", "parent", "depth", "index", "end", "chars", "links", "kids", "attrs")
+    __slots__ = ("tag", "words", "parent", "depth", "index", "end", "chars", "links", "kids", "attrs", "gone")
 
-    def __init__(self, tag: str, words: frozenset[str], parent: Node | None, index: int):
-        self.tag, self.words, self.parent, self.index = tag, words, parent, index
+    def __init__(self, tag: str, words: frozenset[str], parent: Node | None, index: int, gone: bool = False):
+        self.tag, self.words, self.parent, self.index, self.gone = tag, words, parent, index, gone or tag in HIDDEN
         self.depth = parent.depth + 1 if parent else 0
         self.end, self.chars, self.links, self.kids = index + 1, 0, 0, 0
 
 
+class Tags:
+    """The markup of a page, piece by piece, in time linear in the page.
+
+    A tag ends at the first > outside quotes. Where one doesn't end at all its < is text; from the first
+    such place on, a table made in one pass from the back tells where a tag that gets that far ends.
+    """
+
+    def __init__(self, page: str):
+        self.page, self.last = page, page.rfind(">")
+        self.signs: list[int] | None = None
+
+    def ends(self, at: int) -> bool:
+        """Whether a tag whose name ends at ``at`` ends."""
+        if self.signs is None:
+            self.signs = [m.start() for m in _SIGN.finditer(self.page)]
+            self.good = [False] * (len(self.signs) + 1)
+            after: dict[str, int] = {}
+            for k in range(len(self.signs) - 1, -1, -1):
+                c = self.page[self.signs[k]]
+                self.good[k] = c == ">" or c in after and self.good[after[c] + 1]
+                after[c] = k
+        return self.good[bisect_left(self.signs, at)]
+
+    def walk(self, start: int) -> tuple[int, int, re.Match | None]:
+        """From, to and match of the next tag, comment or declaration after ``start``; from is -1 after the last."""
+        page, i, n = self.page, start, len(self.page)
+        while 0 <= (i := page.find("<", i)):
+            if page.startswith("<!--", i):
+                end = page.find("-->", i + 4)
+                return i, n if end < 0 else end + 3, None
+            if i >= self.last:  # no tag ends any more, only a comment can begin
+                i = page.find("<!--", i)
+                return (i, n, None) if i >= 0 else (-1, -1, None)
+            if page.startswith(("<!", "<?"), i):
+                return i, page.find(">", i) + 1, None
+            if self.signs is None or self.ends(i):
+                m = _OPEN.match(page, i)
+                if m:
+                    return i, m.end(), m
+                if page[i + 1 : i + 2].isalpha() or page[i + 1 : i + 2] == "/":
+                    self.ends(i)
+            i += 1
+        return -1, -1, None
+
+
 def parse(page: str) -> tuple[list[Node], list[tuple[int, str, bool]]]:
     """Elements in page order, and (element, text, starts a block) for every piece of shown text."""
     nodes = [Node("html", frozenset(), None, 0)]
     pieces: list[tuple[int, str, bool]] = []
     stack = [nodes[0]]
+    where: dict[str, list[int]] = {"html": [0]}  # places in the stack of the open elements of each tag
+    blocks = [0]
     at, fresh, hidden = 0, True, 0
     n = len(page)
+    tags = Tags(page)
+    top = lambda tag: (where.get(tag) or (0,))[-1]
 
     def text(a: int, b: int) -> None:
         nonlocal fresh
@@ -81,47 +129,45 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str, bool]]]:
         nonlocal hidden, fresh
         while len(stack) > k:
             node = stack.pop()
+            where[node.tag].pop()
             node.end = len(nodes)
-            hidden -= node.tag in HIDDEN
-            fresh = fresh or node.tag in BLOCKS
+            hidden -= node.gone
+            if node.tag in BLOCKS:
+                blocks.pop()
+                fresh = True
 
     while at < n:
-        m = _TAG.search(page, at)
-        if not m:
-            break
-        text(at, m.start())
-        at = m.end()
-        if not m[2]:
+        start = page.find("<", at)
+        m = _OPEN.match(page, start) if start >= 0 and tags.signs is None else None
+        if m:
+            to = m.end()
+        else:
+            start, to, m = tags.walk(at)
+            if start < 0:
+                break
+        text(at, start)
+        at = to
+        if m is None:
             continue
         tag = m[2].lower()
         if m[1]:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
-                    close(k)
-                    break
-                if tag not in BLOCKS and stack[k].tag in BLOCKS:
-                    break
+            k = top(tag)
+            if k > 0 and (tag in BLOCKS or k > blocks[-1]):
+                close(k)
             fresh = fresh or tag in BLOCKS
             continue
-        if tag in ("html", "body") and any(s.tag == tag for s in stack) or tag == "head" and len(stack) > 1:
+        if tag in ("html", "body") and where.get(tag) or tag == "head" and len(stack) > 1:
             continue
         if stack[-1].tag == "head" and tag not in HEAD:
             close(len(stack) - 1)
         if tag in CLOSES_P:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == "p":
-                    close(k)
-                    break
-                if stack[k].tag in BLOCKS:
-                    break
+            if stack[blocks[-1]].tag == "p":
+                close(blocks[-1])
         elif tag in SIBLINGS:
             ends, bound = SIBLINGS[tag]
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag in bound:
-                    break
-                if stack[k].tag in ends and (stack[k].tag != "tr" or tag == "tr"):
-                    close(k)
-                    break
+            k = max(map(top, ends))
+            if k > max(map(top, bound)):
+                close(k)
         if tag in VOID:
             if tag == "hr":
                 fresh = True
@@ -142,20 +188,25 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str, bool]]]:
                 elif name == "style" and re.search(r"display\s*:\s*none", a[2] or a[3] or ""):
                     gone = True
             words = frozenset(w.lower() for w in found)
-        node = Node("template" if gone and tag != "head" else tag, words, stack[-1], len(nodes))
+        node = Node(tag, words, stack[-1], len(nodes), gone and tag != "head")
         nodes.append(node)
         fresh = fresh or tag in BLOCKS
         if tag in RAW:
-            close_at = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
-            at = close_at.end() if close_at else n
+            end = re.compile(rf"</{tag}\b", re.I).search(page, at)
+            at = page.find(">", end.end()) + 1 if end else 0
+            at = at or n
             node.end = len(nodes)
             continue
         if raw.rstrip().endswith("/") and tag not in BLOCKS:
             continue
+        where.setdefault(tag, []).append(len(stack))
+        if tag in BLOCKS:
+            blocks.append(len(stack))
         stack.append(node)
-        hidden += node.tag in HIDDEN
+        hidden += node.gone
     text(at, n)
-    close(0)
+    close(1)
+    nodes[0].end = len(nodes)
     return nodes, pieces
 
 

@@ -1,5 +1,6 @@
 """Pages and archives: exact round trips, broken files, and pages of other shapes than the training ones."""
 
+import time
 import random
 import struct
 
@@ -118,3 +119,30 @@ def test_extract_in_spark(spark):
     out = html.extract(pages(spark, rows)).orderBy("page_id").collect()
     assert [(r.page_id, r.text) for r in out][1:] == [(2, ""), (2, "")]
     assert html.extract(pages(spark, rows).limit(0)).count() == 0
+
+
+HAND_WRITTEN = [
+    ("<!doctype html><html><head><title>T</title><body><nav><a href=/>Home</a> <a href=/b>Blog</a></nav><main><h1>Tea</h1><p>Green tea is not roasted.<p>Black tea is.</main><footer>&copy; 2020 Tea Inc.</footer>", "Tea\nGreen tea is not roasted.\nBlack tea is."),
+    ('<body><div id="header"><h2>My site</h2></div><div id=content><p>One &amp; two,\n   three.</p><ul><li>a first point here<li>a second point here</ul></div><div class="sidebar"><p>Related: cats</p></div></body>', "One & two, three.\na first point here\na second point here"),
+    ('<article><h1>Cats</h1><p>Cats sleep <b>a lot</b>, see <a href="x">this</a>.</p><div class="advertisement">Buy now! Cheap cat food.</div><p>They also purr.</p></article><section id="comments"><p>First!</p></section>', "Cats\nCats sleep a lot, see this.\nThey also purr."),
+    ('<html><body><div class="cookie-notice">We use cookies.</div><article class="post"><p>The bridge was built in 1900 and is still in use today.</p><table><tr><td>Length</td><td>90 m</td></tr></table></article><form><label>Email</label><input name=e></form></body></html>', "The bridge was built in 1900 and is still in use today.\nLength\n90 m"),
+    ('<article><p>Seen text before the hidden part of it.</p><div hidden><p>never shown</p></div><p>Seen text after the hidden part of it.</p></article>', "Seen text before the hidden part of it.\nSeen text after the hidden part of it."),
+]
+
+
+@pytest.mark.parametrize("page, text", HAND_WRITTEN)
+def test_hand_written_pages(page, text):
+    assert extract(page) == [text]
+
+
+@pytest.mark.parametrize("page", ["<a " * 350_000, "<div>" * 100_000 + "</section>" * 60_000, "<a " * 300_000 + "' >", "<i><div>" + "<b>" * 100_000 + "</i>" * 100_000, "<!" * 500_000, "<script></script" * 60_000, "<a '" * 250_001 + ">", "<" * 1_000_000])
+def test_parsing_takes_linear_time(page):
+    began = time.process_time()
+    html.parse(page)
+    assert time.process_time() - began < 20  # a quadratic walk takes hours
+
+
+def test_a_bracket_that_ends_no_tag_is_text():
+    nodes, pieces = html.parse('<article><p>Here 3 < 4 and <b it goes " on.</p><p>More</p></article>')
+    assert [n.tag for n in nodes] == ["html", "article", "p", "p"]
+    assert "".join(t for i, t, _ in pieces if i == 2) == 'Here 3 < 4 and <b it goes " on.'
