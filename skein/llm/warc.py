@@ -142,15 +142,41 @@ def records_of(content: bytes) -> Iterator[tuple[int, bytes]]:
     reader = zstandard.ZstdDecompressor(dict_data=dictionary) if dictionary else zstandard.ZstdDecompressor()
     view = memoryview(content)
     while at < len(content):
+        end = frame_end(content, at)
         one = reader.decompressobj()
         try:
-            raw = one.decompress(view[at:])
+            raw = one.decompress(view[at:end])
         except zstandard.ZstdError as e:
             raise WarcError(f"at {at}: {e}") from e
-        if not one.eof:
-            raise WarcError(f"at {at}: a frame is cut short")
+        if not one.eof or one.unused_data:
+            raise WarcError(f"at {at}: a frame that isn't as long as its blocks")
         yield at, raw
-        at = len(content) - len(one.unused_data)
+        at = end
+
+
+def frame_end(content: bytes, at: int) -> int:
+    """Where the frame that begins at ``at`` ends, from the headers of the frame and of its blocks alone."""
+    try:
+        magic, flags = struct.unpack_from("<IB", content, at)
+        if magic & 0xFFFFFFF0 == SKIPPABLE & 0xFFFFFFF0:
+            raise WarcError(f"at {at}: a skippable frame among the records")
+        if magic != FRAME:
+            raise WarcError(f"at {at}: no frame")
+        single = flags >> 5 & 1
+        p = at + 5 + (not single) + (0, 1, 2, 4)[flags & 3] + (single, 2, 4, 8)[flags >> 6]
+        while True:
+            head = int.from_bytes(content[p : p + 3], "little")
+            if len(content) < p + 3:
+                raise struct.error
+            p += 3 + (1 if head >> 1 & 3 == 1 else head >> 3)  # a run of one byte is one byte long
+            if head & 1:
+                break
+        p += 4 * (flags >> 2 & 1)
+    except struct.error as e:
+        raise WarcError(f"at {at}: a frame is cut short") from e
+    if p > len(content):
+        raise WarcError(f"at {at}: a frame is cut short")
+    return p
 
 
 ARCHIVE = "name string, content binary"

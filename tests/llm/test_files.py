@@ -146,3 +146,27 @@ def test_a_bracket_that_ends_no_tag_is_text():
     nodes, pieces = html.parse('<article><p>Here 3 < 4 and <b it goes " on.</p><p>More</p></article>')
     assert [n.tag for n in nodes] == ["html", "article", "p", "p"]
     assert "".join(t for i, t, _ in pieces if i == 2) == 'Here 3 < 4 and <b it goes " on.'
+
+
+def test_frames_end_where_their_blocks_do():
+    import zstandard
+
+    r = random.Random(4)
+    samples = [b"", b"a", b"a" * 300_000, r.randbytes(400_000), b"word " * 70_000 + r.randbytes(1000)]
+    for sums, sizes, level in ((True, True, 3), (False, False, 1), (True, False, 19)):
+        frames = [zstandard.ZstdCompressor(level=level, write_checksum=sums, write_content_size=sizes).compress(x) for x in samples]
+        at, content = 0, b"".join(frames)
+        for f in frames:
+            assert warc.frame_end(content, at) == at + len(f)
+            at += len(f)
+    for cut in (1, 4, 6, len(frames[3]) - 1):
+        with pytest.raises(warc.WarcError):
+            warc.frame_end(frames[3][:cut], 0)
+
+
+def test_reading_takes_linear_time():
+    records = [warc.record(k, "u", random.Random(k).randbytes(1500).hex().encode(), None, "2024-01-01T00:00:00Z") for k in range(12_000)]
+    content = warc.archive(records, records[:100], warc.WarcConfig())
+    began = time.process_time()
+    assert sum(1 for _ in warc.records_of(content)) == len(records) and len(content) > 18_000_000
+    assert time.process_time() - began < 5  # copying the rest for each record took 45 s
