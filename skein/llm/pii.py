@@ -69,22 +69,50 @@ class PiiConfig:
     depth: int = 3
 
 
+def running(values: Column, both) -> Column:
+    """Each element combined by ``both`` with all before it, by doubling: as many passes as the size has bits."""
+    passes = F.when(F.size(values) > 1, F.sequence(F.lit(0), F.floor(F.log2(F.size(values))).cast("int"))).otherwise(F.array().cast("array<int>"))
+    far = lambda k: F.call_function("shiftleft", F.lit(1), k)
+    return F.aggregate(passes, values, lambda a, k: F.transform(a, lambda x, i: F.when(i >= far(k), both(x, F.get(a, i - far(k)))).otherwise(x)))
+
+
 def found(text: Column, kind: str, guard: Column) -> Column:
     """All matches of a kind with their places: lengths of what lies between matches, added up."""
     k = KINDS.index(kind)
     none = F.array().cast(_SPAN)
 
     def placed(m: Column) -> Column:
-        each = F.transform(m["found"], lambda v, i: F.struct(F.length(F.get(m["between"], i)).alias("gap"), v.alias("v")))
-        start = F.struct(F.lit(0).alias("at"), none.alias("out"))
-        span = lambda a, x: F.struct((a["at"] + x["gap"]).alias("s"), F.lit(k).alias("k"), (a["at"] + x["gap"] + F.length(x["v"])).alias("e"), x["v"].alias("v"))
-        return F.aggregate(each, start, lambda a, x: F.struct((a["at"] + x["gap"] + F.length(x["v"])).alias("at"), F.array_append(a["out"], span(a, x)).alias("out")), lambda a: a["out"])
+        size = F.transform(m["found"], lambda v, i: F.length(F.get(m["between"], i)) + F.length(v))
+        return let(
+            running(size, lambda x, y: x + y),
+            lambda end: F.transform(m["found"], lambda v, i: F.struct((F.get(end, i) - F.length(v)).alias("s"), F.lit(k).alias("k"), F.get(end, i).alias("e"), v.alias("v"))).cast(_SPAN),
+        )
 
     pattern = PATTERNS[kind]
     both = F.struct(F.split(text, pattern, -1).alias("between"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"))
     return F.when(guard, let(both, lambda m: F.when(F.size(m["found"]) > 0, placed(m)).otherwise(none))).otherwise(none)
 
 
+#: Code points of a chunk; places are looked up in their chunk, not counted from the start of the text.
+CHUNK = 256
+
+
+def chunks(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))
+
+
+def between(parts: Column, a: Column, b: Column) -> Column:
+    """The code points of a text from a to b, out of its chunks."""
+    of = lambda x: F.floor(x / CHUNK).cast("int")
+    one = F.coalesce(F.get(parts, of(a)), F.lit(""))
+    ends = lambda: F.concat(
+        F.substring(one, a % CHUNK + 1, F.lit(CHUNK)),
+        F.array_join(F.slice(parts, of(a) + 2, F.greatest(of(b) - of(a) - 1, F.lit(0))), ""),
+        F.substring(F.coalesce(F.get(parts, of(b)), F.lit("")), F.lit(1), b % CHUNK),
+    )
+    return F.when(b <= a, "").when(of(a) == of(b), F.substring(one, a % CHUNK + 1, b - a)).otherwise(ends())
+
+
 def digits(v: Column) -> Column:
     return F.regexp_replace(v, "[^0-9]+", "")
 
@@ -128,14 +156,14 @@ FEATURES = (
 )
 
 
-def described(x: Column, text: Column) -> Column:
-    """The FEATURES of a candidate, as an array of doubles."""
+def described(x: Column, parts: Column) -> Column:
+    """The FEATURES of a candidate, as an array of doubles; ``parts`` are the chunks of the text."""
     v = x["v"]
     of = lambda p: F.length(v) - F.length(F.regexp_replace(v, p, ""))
     flag = lambda c: F.when(c, 1.0).otherwise(0.0)
-    before = F.lower(F.substring(text, F.greatest(x["s"] - 31, F.lit(1)), F.least(x["s"], F.lit(32))))
-    last = F.substring(text, x["s"], F.when(x["s"] > 0, 1).otherwise(0))
-    after = F.substring(text, x["e"] + 1, F.lit(1))
+    before = F.lower(between(parts, F.greatest(x["s"] - 32, F.lit(0)), x["s"]))
+    last = between(parts, F.greatest(x["s"] - 1, F.lit(0)), x["s"])
+    after = between(parts, x["e"], x["e"] + 1)
     return F.array(
         x["k"].cast("double"),
         F.length(v).cast("double"),
@@ -228,7 +256,7 @@ def trained(spark: SparkSession, cfg: PiiConfig = PiiConfig()) -> tuple[gbt.Gbt,
     made = F.from_json(F.lit(json.dumps(examples(cfg))), "array<struct<i:int,t:string,s:int,e:int,y:int>>")
     rows = spark.range(1).select(F.explode(made).alias("r")).select("r.*")
     each = rows.select("i", "s", "e", "y", "t", F.explode(candidates(F.col("t"))).alias("c"))
-    got = each.select("i", "y", F.col("c.k").alias("k"), ((F.col("c.s") < F.col("e")) & (F.col("c.e") > F.col("s"))).alias("hit"), described(F.col("c"), F.col("t")).alias("x")).collect()
+    got = each.select("i", "y", F.col("c.k").alias("k"), ((F.col("c.s") < F.col("e")) & (F.col("c.e") > F.col("s"))).alias("hit"), described(F.col("c"), chunks(F.col("t"))).alias("x")).collect()
     x, y = np.array([g.x for g in got]), np.array([float(g.y and g.hit) for g in got])
     fold = np.array([g.i % 3 == 0 for g in got])
     model = gbt.fit(x[~fold], y[~fold], gbt.GbtConfig(trees=cfg.trees, depth=cfg.depth))
@@ -245,21 +273,54 @@ def trained(spark: SparkSession, cfg: PiiConfig = PiiConfig()) -> tuple[gbt.Gbt,
     return model, cut
 
 
-def added_spans(text: Column, base: Column, model: gbt.Gbt, cut: dict[int, float]) -> Column:
-    """Candidates over their kind's threshold, without overlaps: best margin first, base spans before all."""
+def free(found_: Column, base: Column) -> Column:
+    """The candidates that cross no base span: one order of all by start, the largest base end before and the next base start."""
+    place = lambda t: lambda x: F.struct(x["s"].alias("s"), F.lit(t).alias("t"), x["e"].alias("e"), x.alias("c"))
+
+    def clear(every: Column) -> Column:
+        reach = running(F.transform(every, lambda x: F.when(x["t"] == 0, x["e"]).otherwise(0)), F.greatest)
+        ahead = F.reverse(running(F.transform(F.reverse(every), lambda x: F.when(x["t"] == 0, x["s"]).otherwise(F.lit(2**31 - 1))), F.least))
+        keep = lambda r, n: F.filter(every, lambda x, i: (x["t"] == 1) & (F.get(r, i) <= x["s"]) & (F.get(n, i) >= x["e"]))
+        return let(reach, lambda r: let(ahead, lambda n: F.transform(keep(r, n), lambda x: x["c"])))
 
-    def judged(c: Column) -> Column:
-        x = described(c, text)
-        return let(x, lambda f: F.struct(model.compiled(lambda j: F.get(f, F.lit(j))).alias("z"), c.alias("c")))
+    both = F.array_sort(F.concat(F.transform(base, place(0)), F.transform(found_, place(1))))
+    return F.when((F.size(base) == 0) | (F.size(found_) == 0), found_).otherwise(let(both, clear))
 
+
+def added_spans(text: Column, base: Column, model: gbt.Gbt, cut: dict[int, float]) -> Column:
+    """Candidates over their kind's threshold, without overlaps: best margin first, base spans before all.
+
+    Candidates that overlap, one after another, are a group of their own, so that each is compared with
+    those of its group only.
+    """
+    none = F.array().cast(_SPAN)
     least = F.create_map(*[v for k, t in cut.items() for v in (F.lit(k), F.lit(t))])
     over = lambda j: j["z"] >= F.element_at(least, j["c"]["k"])
     crosses = lambda a, b: (a["s"] < b["e"]) & (b["s"] < a["e"])
-    free = F.filter(candidates(text), lambda c: ~F.exists(base, lambda b: crosses(c, b)))
-    good = F.filter(F.transform(free, judged), over)
-    best_first = F.array_sort(F.transform(good, lambda j: F.struct((-j["z"]).alias("z"), j["c"].alias("c"))))
-    none = F.array().cast(_SPAN)
-    return F.aggregate(best_first, none, lambda a, j: F.when(F.exists(a, lambda b: crosses(j["c"], b)), a).otherwise(F.array_append(a, j["c"])))
+
+    def judged(c: Column, parts: Column) -> Column:
+        return let(described(c, parts), lambda f: F.struct(model.compiled(lambda j: F.get(f, F.lit(j))).alias("z"), c.alias("c")))
+
+    def best(group: Column) -> Column:
+        first = F.array_sort(F.transform(group, lambda j: F.struct((-j["z"]).alias("z"), j["c"].alias("c"))))
+        take = lambda a, j: F.when(F.exists(a, lambda b: crosses(j["c"], b)), a).otherwise(F.array_append(a, j["c"]))
+        return F.when(F.size(group) == 1, F.transform(group, lambda j: j["c"])).otherwise(F.aggregate(first, none, take))
+
+    def chosen(good: Column) -> Column:
+        def split(at: Column) -> Column:
+            size = lambda x, i: F.coalesce(F.get(at, i + 1), F.size(good)) - x
+            return F.flatten(F.transform(at, lambda x, i: best(F.slice(good, x + 1, size(x, i)))))
+
+        reach = running(F.transform(good, lambda j: j["c"]["e"]), F.greatest)
+        begins = lambda r: F.filter(F.sequence(F.lit(0), F.size(good) - 1), lambda i: (i == 0) | (F.get(good, i)["c"]["s"] >= F.get(r, i - 1)))
+        return F.when(F.size(good) == 0, none).otherwise(let(reach, lambda r: let(begins(r), split)))
+
+    def of(some: Column) -> Column:
+        all_ = let(chunks(text), lambda parts: F.filter(F.transform(some, lambda c: judged(c, parts)), over))
+        by_place = F.array_sort(F.transform(all_, lambda j: F.struct(j["c"]["s"].alias("s"), j["z"].alias("z"), j["c"].alias("c"))))
+        return let(by_place, chosen)
+
+    return let(free(candidates(text), base), lambda some: F.when(F.size(some) == 0, none).otherwise(of(some)))
 
 
 def detect(docs: DataFrame, cfg: PiiConfig = PiiConfig(), text: str = "text") -> DataFrame:
@@ -276,23 +337,11 @@ def redact(docs: DataFrame, cfg: PiiConfig = PiiConfig()) -> DataFrame:
 
     def cutout(v: Column) -> Column:
         # what earlier spans cover, so that overlapping spans make one gap
-        reach = F.aggregate(v["p"], F.array().cast("array<int>"), lambda a, s: F.array_append(a, F.greatest(F.coalesce(F.get(a, F.size(a) - 1), F.lit(0)), s["e"])))
-        return let(
-            reach,
-            lambda r: F.concat(
-                F.array_join(
-                    F.transform(
-                        v["p"],
-                        lambda s, i: let(
-                            F.coalesce(F.get(r, i - 1), F.lit(0)),
-                            lambda at: F.when(s["s"] < at, F.lit("")).otherwise(F.concat(F.substring(v["t"], at + 1, s["s"] - at), F.get(names, s["k"]))),
-                        ),
-                    ),
-                    "",
-                ),
-                F.substring(v["t"], F.get(r, F.size(r) - 1) + 1, F.length(v["t"])),
-            ),
-        )
+        reach = running(F.transform(v["p"], lambda s: s["e"]), F.greatest)
+        before = lambda r, i: F.when(i == 0, 0).otherwise(F.get(r, i - 1))
+        piece = lambda r, parts: lambda s, i: let(before(r, i), lambda at: F.when(s["s"] < at, "").otherwise(F.concat(between(parts, at, s["s"]), F.get(names, s["k"]))))
+        rest = lambda r, parts: between(parts, F.get(r, F.size(r) - 1), F.length(v["t"]))
+        return let(reach, lambda r: let(chunks(v["t"]), lambda parts: F.concat(F.array_join(F.transform(v["p"], piece(r, parts)), ""), rest(r, parts))))
 
     seen = detect(docs.select("text", F.struct(*[docs[c] for c in docs.columns]).alias("row")), cfg)
     clean = F.when(F.size("_spans") > 0, let(F.struct(F.col("_spans").alias("p"), F.col("text").alias("t")), cutout)).otherwise(F.col("text"))
