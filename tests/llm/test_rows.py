@@ -493,6 +493,50 @@ def test_repeated_spans(spark, odd, odd_texts, none):
     assert spans.cleaned(none).count() == 0
 
 
+def brute_cleaned(docs, min_words=16):
+    """Sentences of each text and which of them go, in plain Python; for texts with a sentence end at every eighth word at least."""
+    cut = {}
+    for i, t in docs:
+        sents, now = [], []
+        for m in re.finditer(r"[^\x20\x09-\x0D]+", t or ""):
+            now.append(m.group().translate(LOWER))
+            gap = re.match(r"[\x20\x09-\x0D]*", t[m.end() :]).group()
+            if re.search(r"[.!?][\"')\]}]?$", now[-1]) or "\n" in gap:
+                sents.append(now)
+                now = []
+        cut[i] = sents + [now] * bool(now)
+    runs = collections.defaultdict(list)
+    for i, sents in cut.items():
+        n = [len(s) for s in sents]
+        for a in range(len(sents)):
+            for forward in (True, False):
+                x, y = (a, a) if forward else (a + 1, a + 1)
+                while (y - x < 2 or sum(n[x:y]) < min_words) and (y < len(sents) if forward else x > 0):
+                    x, y = (x, y + 1) if forward else (x - 1, y)
+                if y - x >= 2 and sum(n[x:y]) >= min_words:
+                    runs[tuple(w for s in sents[x:y] for w in s)].append((i, x, y))
+    gone = {i: [False] * len(s) for i, s in cut.items()}
+    for places in runs.values():
+        first = min((i, x, y - x) for i, x, y in places)
+        for i, x, y in places:
+            if (i, x, y - x) != first:
+                gone[i][x:y] = [True] * (y - x)
+    return {i: (len(g), sum(g), [w for s, x in zip(cut[i], g, strict=True) if not x for w in s]) for i, g in gone.items()}
+
+
+def test_spans_against_brute_force(spark):
+    r = random.Random(9)
+    sentence = lambda: " ".join(r.choice("abcdefg") for _ in range(r.randint(1, 7))) + r.choice([".", "!", "?", '."', "\n", ".\n\n"])
+    stock = [" ".join(sentence() for _ in range(r.randint(1, 6))) for _ in range(12)]
+    docs = [(i, " ".join(r.choice(stock) if r.random() < 0.5 else sentence() for _ in range(r.randint(0, 9)))) for i in range(60)]
+    docs += [(60, docs[3][1]), (61, docs[3][1].upper()), (62, None), (63, "")]
+    want = brute_cleaned(docs)
+    assert sum(n for _, n, _ in want.values()) > 100
+    for x in spans.cleaned(spark.createDataFrame(docs, "doc_id long, text string").repartition(5)).collect():
+        n, removed, kept = want[x.doc_id]
+        assert (x.n_sentences, x.n_removed, words(x.text)) == (n, removed, kept), x.doc_id
+
+
 def test_spans_leave_single_texts_alone(spark):
     r = random.Random(12)
     rows = [(i, " ".join(f"q{r.randint(0, 10**6)}{r.choice(['', '.', ''])}" for _ in range(120))) for i in range(30)]
