@@ -9,11 +9,14 @@ Texts with equal sets are one class. Classes that share a band of registers are
 bucket all classes are compared with one centre, so a bucket of n classes gives n - 1 pairs. Confirmed
 links make components, and buckets that still hold several components are dealt with again under other
 centres. What is left after these rounds is compared pair by pair across components, but for sets that
-share too few shingles with all others to have a link, so no link that the bands found is lost. A pair is verified on full sets only if the register estimate, corrected for
-chance collisions, allows it.
+share too few shingles with all others to have a link, so no link that the bands found is lost. A pair is
+verified on full sets only if the register estimate, corrected for chance collisions, allows it.
 
 Null and empty texts have no shingles and link with nothing: each is its own component. Repeated rows
-of one doc_id count as copies of it; rows without a doc_id that have no other copy get a null component. Columns other than the two named ones are never read.
+of one doc_id count as copies of it. Where rows have no doc_id, or one doc_id with different sets, rows are
+told apart by numbers, each is linked by its own text, and a component's id is the smallest doc_id of its
+rows: null if none has one, and a doc_id may be in several components. Equal sets are told by 128 bits of
+hash. Columns other than the two named ones are never read.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import hashing
-from .common import cut, ship, table
+from .common import cut, numbered, ship, table
 
 
 @dataclass(frozen=True)
@@ -41,6 +44,7 @@ class NearConfig:
     extra: int = 384  # registers beyond the bands', for estimates only
     slack: float = 0.105  # an estimate from 512 registers is this far off with a chance of about 1e-7
     rounds: int = 1
+    block: int = 256  # classes of a bucket that meet in one task
     broadcast_ids: int = 500_000  # up to so many ids (8 MB) find their texts without a shuffle of all texts
 
     @property
@@ -271,11 +275,16 @@ def leftover(held: DataFrame, reps: DataFrame, docs: DataFrame, cfg: NearConfig)
     low = held.groupBy("key").agg(F.min("n").alias("low"))
     able = held.join(low, "key").filter(100 * F.col("s") >= p * (F.col("n") + F.greatest("low", "s") - F.col("s"))).drop("low")
     able = cut(mixed(able).join(reps.select("rep", "sig"), "rep"), "able")
-    other = able.select("key", F.col("rep").alias("x"), F.col("c").alias("cx"), F.col("n").alias("nx"), F.col("s").alias("sx"), F.col("sig").alias("gx"))
+    # a bucket is cut into blocks by a hash of the class, every two of which meet in a task of their own
+    able = able.join(able.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / cfg.block).cast("int").alias("blocks")), "key")
+    block, every = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    other = able.select("key", F.col("rep").alias("x"), F.col("c").alias("cx"), F.col("n").alias("nx"), F.col("s").alias("sx"), F.col("sig").alias("gx"), block.alias("there"), every.alias("here"))
+    able = able.withColumn("here", block).withColumn("there", every)
     m = F.least("s", "sx")
     near = (F.col("c") > F.col("cx")) & (100 * F.least("n", "nx") >= p * F.greatest("n", "nx")) & (100 * m >= p * (F.col("n") + F.col("nx") - m))
     near = near & (first_shared("sig", "gx", cfg) == F.col("band")) & (likeness("sig", "gx", cfg) >= p / 100 - cfg.slack)
-    return able.join(other, (able.key == other.key) & near).select("x", F.col("rep").alias("y"))
+    same = (able.key == other.key) & (able.here == other.here) & (able.there == other.there)
+    return able.join(other, same & near).select("x", F.col("rep").alias("y"))
 
 
 def near_duplicates(docs: DataFrame, cfg: NearConfig = NearConfig()) -> DataFrame:
@@ -283,6 +292,26 @@ def near_duplicates(docs: DataFrame, cfg: NearConfig = NearConfig()) -> DataFram
     ship(docs.sparkSession)
     docs = docs.select("doc_id", "text")
     sketched = cut(sketches(docs, cfg), "sketch")
+    if not unclear(sketched).isEmpty():
+        rows = numbered(docs, "near")
+        found = linked(rows.select(F.col("_row").alias("doc_id"), "text"), None, cfg).select(F.col("doc_id").alias("_row"), "n_shingles", "class_id", "component_id")
+        own = cut(rows.select("_row", "doc_id").join(found, "_row"), "own")
+        for c in ("class_id", "component_id"):
+            least = own.groupBy(c).agg(F.min("doc_id").alias("least"))
+            own = own.join(least, c).drop(c).withColumnRenamed("least", c)
+        return own.select("doc_id", "n_shingles", "class_id", "component_id")
+    return linked(docs, sketched, cfg)
+
+
+def unclear(sketched: DataFrame) -> DataFrame:
+    """The doc_ids that don't tell rows apart: none at all, or one of rows with different sets."""
+    one = F.struct("n", "a", "b")
+    return sketched.groupBy("doc_id").agg(F.min(one).alias("p"), F.max(one).alias("q")).filter("doc_id is null or p <> q").select("doc_id")
+
+
+def linked(docs: DataFrame, sketched: DataFrame | None, cfg: NearConfig) -> DataFrame:
+    """The same, for documents that doc_id tells apart."""
+    sketched = cut(sketches(docs, cfg), "sketch") if sketched is None else sketched
     member = cut(classes(sketched), "class")
     reps = member.filter("sig is not null").select("rep", "n", "sig").dropDuplicates(["rep"])
     bands = banded(reps, cfg)
@@ -314,7 +343,7 @@ def near_duplicates(docs: DataFrame, cfg: NearConfig = NearConfig()) -> DataFram
 
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = near_duplicates(table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()).alias("kept"))
 
 
 #: DuckDB SQL for the rows of op8: all pairs that share a shingle, and the links' closure.

@@ -446,10 +446,18 @@ def test_near_duplicates_of_a_family(spark, rounds):
             w[r.randrange(len(w))] = f"e{r.randint(0, 9)}"
         texts.append((i, " ".join(w)))
     want = brute_components(texts)
-    rows = neardup.near_duplicates(spark.createDataFrame(texts, "doc_id long, text string"), neardup.NearConfig(rounds=rounds)).collect()
+    rows = neardup.near_duplicates(spark.createDataFrame(texts, "doc_id long, text string"), neardup.NearConfig(rounds=rounds, block=256 if rounds else 16)).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in rows} == want
 
 
+def test_near_duplicates_of_rows_that_ids_do_not_tell_apart(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(50)) for x in "abc")
+    rows = [(5, a), (5, b), (3, b + " more"), (None, a + " more"), (None, c), (7, a), (None, None), (9, "")]
+    docs = spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], "doc_id long, text string, k int")
+    got = collections.Counter((r.doc_id, r.n_shingles, r.component_id) for r in neardup.near_duplicates(docs).collect())
+    assert got == collections.Counter([(5, 46, 5), (5, 46, 3), (3, 47, 3), (None, 47, 5), (None, 46, None), (7, 46, 5), (None, 0, None), (9, 0, 9)])
+
+
 def test_registers_estimate_similarity():
     r = np.random.default_rng(4)
     every = hashing.mix(r.integers(0, 2**63, 3000).astype(np.uint64))
