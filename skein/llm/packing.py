@@ -5,7 +5,9 @@ same sequences again. Whole sequences are cut from documents of ``size`` tokens
 waits in a pool of bounded length. A sequence takes, again and again, the waiting example that fits and
 whose demands have the largest dot product with what the sequence has left, each divided by its limit.
 When none fits, the next example is cut to fill the sequence (``cut_to_fill``), and a task's last
-tokens are cut into sequences at powers of two, which need no padding.
+tokens are cut into sequences at powers of two, which need no padding. Plain documents bear loss on all
+tokens but the first, so the limit on loss counts only where it is below the size; turns of instruction
+data say which of them bear loss.
 
 A null text is empty: its document is the end token alone. Repeated rows are packed each. Only the two
 named columns are read. An empty table gives no rows.
@@ -98,34 +100,40 @@ def longest_run(s: str) -> int:
 
 
 class Packer:
-    """Packs examples into sequences; ``pieces`` holds (doc, start, ids, doc tokens, sequence, offset)."""
+    """Packs examples into sequences; ``pieces`` holds (doc, start, ids, doc tokens, sequence, offset, mask)."""
 
     def __init__(self, cfg: PackConfig, first_sequence: int):
         self.cfg, self.sequence = cfg, first_sequence
         self.limit = np.array([cfg.size, cfg.segments, cfg.loss], dtype=np.float64)
         self.demand = np.zeros((cfg.pool + 1, 3))
-        self.waiting: list[tuple] = []  # doc, start, ids, doc tokens, whether its first token bears no loss
+        self.waiting: list[tuple] = []  # doc, start, ids, doc tokens, which tokens bear loss
         self.pieces: list[tuple] = []
 
-    def add(self, doc: int | None, ids: np.ndarray) -> None:
-        """One document. Its first token has nothing before it, so it bears no loss."""
-        n, at, step = len(ids), 0, min(self.cfg.size, self.cfg.loss)
-        while n - at >= step:
-            self.close([(doc, at, ids[at : at + step], n)])
-            at += step
-        if at < n:
-            self.wait((doc, at, ids[at:], n))
-            while len(self.waiting) > self.cfg.pool:
-                self.fill()
+    def add(self, doc: int | None, ids: np.ndarray, mask: np.ndarray | None = None) -> None:
+        """One document. ``mask`` tells which tokens bear loss; without it all do but the first, which has nothing before it."""
+        if mask is None:
+            mask = np.ones(len(ids), dtype=bool)
+            mask[0] = False
+        n, at, upto = len(ids), 0, np.concatenate([[0], np.cumsum(mask)])
+        while at < n:
+            to = min(at + self.cfg.size, int(np.searchsorted(upto, upto[at] + self.cfg.loss, side="right")) - 1)
+            piece = (doc, at, ids[at:to], n, mask[at:to])
+            if to < n or to - at == self.cfg.size:
+                self.close([piece])
+            else:
+                self.wait(piece)
+                while len(self.waiting) > self.cfg.pool:
+                    self.fill()
+            at = to
 
     def wait(self, piece: tuple) -> None:
-        self.demand[len(self.waiting)] = (len(piece[2]), 1, len(piece[2]) - (piece[1] == 0))
+        self.demand[len(self.waiting)] = (len(piece[2]), 1, np.count_nonzero(piece[4]))
         self.waiting.append(piece)
 
     def close(self, taken: list[tuple]) -> None:
         at = 0
-        for doc, start, ids, n in taken:
-            self.pieces.append((doc, start, ids, n, self.sequence, at))
+        for doc, start, ids, n, mask in taken:
+            self.pieces.append((doc, start, ids, n, self.sequence, at, mask))
             at += len(ids)
         self.sequence += 1
 
@@ -150,10 +158,10 @@ class Packer:
                 if not self.cfg.cut_to_fill:
                     break
                 k = int(need[:, 0].argmax())  # what is longest is cut anyway
-                room = int(min(left[0], left[2]))
-                doc, start, ids, n = self.take(k)
-                taken.append((doc, start, ids[:room], n))
-                self.wait((doc, start + room, ids[room:], n))
+                doc, start, ids, n, mask = self.take(k)
+                room = int(min(left[0], np.searchsorted(np.cumsum(mask), left[2], side="right")))
+                taken.append((doc, start, ids[:room], n, mask[:room]))
+                self.wait((doc, start + room, ids[room:], n, mask[room:]))
                 break
             left -= need[k]
             taken.append(self.take(k))
@@ -170,17 +178,27 @@ class Packer:
 
 PIECES = "doc_id long, start long, ids binary, doc_tokens long, sequence_id long, offset long"
 _ARROW = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
+_MASK = pa.field("loss", pa.binary())
 
 
 def pack(docs: DataFrame, cfg: PackConfig = PackConfig()) -> DataFrame:
-    """PIECES of every row of ``docs`` (doc_id, text); ids are little-endian 32-bit."""
+    """PIECES of every row of ``docs`` (doc_id, text); ids are little-endian 32-bit.
+
+    Instruction data has a column ``turns``, array<struct<text string, loss boolean>>, in place of text:
+    each turn is encoded alone, bears loss or not, and the end token is of the last one. Its pieces have
+    one column more, ``loss``: a byte for each id, 1 where it bears loss.
+    """
     ship(docs.sparkSession)
     path = cfg.tokenizer or default_tokenizer()
+    turns = "turns" in docs.columns
+    schema = _ARROW.append(_MASK) if turns else _ARROW
 
     def batch_of(pieces: list[tuple]) -> pa.RecordBatch:
-        cols = list(zip(*pieces, strict=True)) if pieces else [[]] * 6
+        cols = list(zip(*pieces, strict=True)) if pieces else [[]] * 7
         cols[2] = [ids.astype("<u4").tobytes() for ids in cols[2]]
-        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _ARROW, strict=True)], schema=_ARROW)
+        if turns:
+            cols[6] = [mask.astype("u1").tobytes() for mask in cols[6]]
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema, strict=False)], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path)
@@ -189,15 +207,22 @@ def pack(docs: DataFrame, cfg: PackConfig = PackConfig()) -> DataFrame:
         for batch in batches:
             ids = batch.column(0)
             for k in range(batch.num_rows):
-                text = batch.column(1)[k].as_py() or ""
-                packer.add(ids[k].as_py(), np.concatenate([encode(text), end]))
+                value = batch.column(1)[k].as_py()
+                if turns:
+                    parts = [(encode(t["text"] or ""), bool(t["loss"])) for t in value or () if t]
+                    parts.append((end, parts[-1][1] if parts else False))
+                    mask = np.concatenate([np.full(len(p), on) for p, on in parts])
+                    mask[0] = False
+                    packer.add(ids[k].as_py(), np.concatenate([p for p, _ in parts]), mask)
+                else:
+                    packer.add(ids[k].as_py(), np.concatenate([encode(value or ""), end]))
                 if len(packer.pieces) >= 2048:
                     yield batch_of(packer.pieces)
                     packer.pieces = []
         packer.finish()
         yield batch_of(packer.pieces)
 
-    return docs.select("doc_id", "text").mapInArrow(run, PIECES)
+    return docs.select("doc_id", "turns" if turns else "text").mapInArrow(run, PIECES + ", loss binary" * turns)
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -412,6 +412,57 @@ def test_packing(spark, odd_texts, none, cfg):
 # ---- 8 --------------------------------------------------------------------------------------------
 
 
+def test_packing_of_turns_under_a_limit_on_loss(spark):
+    """Prompts bear no loss; both limits bind, and the dot product needs fewer sequences than first fit."""
+    r = random.Random(6)
+    some = lambda n: " ".join(r.choice(["river", "stone", "light", "a", "of"]) for _ in range(n))
+    rows = [(i, [(some(p), False), (some(a), True)]) for i in range(160) for p, a in [r.choice([(200, 8), (20, 120), (60, 60)])]]
+    rows += [(900, None), (901, []), (902, [(None, True), ("x", None)]), (None, [("alone", True)])]
+    cfg = packing.PackConfig(size=256, segments=8, loss=128, pool=200)
+    docs = spark.createDataFrame(rows, "doc_id long, turns array<struct<text: string, loss: boolean>>").coalesce(1)
+    pieces = packing.pack(docs, cfg).collect()
+    tokens, loss, held = collections.Counter(), collections.Counter(), collections.Counter()
+    doc = collections.defaultdict(list)
+    for p in pieces:
+        ids = np.frombuffer(bytes(p.ids), "<u4")
+        assert len(ids) == len(p.loss) and p.offset == tokens[p.sequence_id]
+        tokens[p.sequence_id] += len(ids)
+        loss[p.sequence_id] += sum(p.loss)
+        held[p.sequence_id] += 1
+        doc[p.doc_id].append((p.start, ids.tolist(), list(p.loss)))
+    assert max(tokens.values()) <= 256 and max(loss.values()) == 128 and max(held.values()) <= 8
+    assert sum(loss[s] == 128 and tokens[s] < 256 for s in tokens) > 0 and sum(tokens[s] == 256 and loss[s] < 128 for s in tokens) > 0
+    code = packing.encoder(packing.default_tokenizer())
+    for i, turns in rows:
+        parts = [(code(t or "").tolist(), bool(on)) for t, on in turns or []]
+        want = [x for p, _ in parts for x in p] + [0]
+        mask = [int(on) for p, on in parts for _ in p] + [int(parts[-1][1]) if parts else 0]
+        mask[0] = 0
+        at = sorted(doc[i])
+        assert [x for _, p, _ in at for x in p] == want and [x for _, _, m in at for x in m] == mask
+
+
+def test_dot_products_beat_first_fit():
+    """Whole examples, long prompts with short answers and the other way round, in random order."""
+    cfg, r, used = packing.PackConfig(size=256, segments=8, loss=128, pool=300, cut_to_fill=False), random.Random(2), np.zeros(2, int)
+    for _ in range(10):
+        some = [(r.randint(60, 200), r.randint(1, 20)) if r.random() < 0.5 else ((n := r.randint(20, 110)), n - r.randint(1, 10)) for _ in range(250)]
+        bins: list[list[int]] = []
+        for n, on in some:
+            for b in bins:
+                if b[0] + n <= 256 and b[1] + on <= 128 and b[2] < 8:
+                    b[0], b[1], b[2] = b[0] + n, b[1] + on, b[2] + 1
+                    break
+            else:
+                bins.append([n, on, 1])
+        packer = packing.Packer(cfg, 0)
+        for k, (n, on) in enumerate(some):
+            packer.add(k, np.ones(n, np.uint32), np.arange(n) >= n - on)
+        packer.finish()
+        used += [len({p[4] for p in packer.pieces}), len(bins)]
+    assert used[0] < used[1]
+
+
 def brute_components(texts):
     sets = {i: shingle_set(t) for i, t in texts}
     root = {i: i for i in sets}
