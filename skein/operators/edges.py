@@ -133,6 +133,27 @@ def band_keys(hashed: DataFrame, cfg: DedupConfig = DedupConfig()) -> DataFrame:
     return hashed.mapInArrow(run, "doc_id long, band int, key long")
 
 
+def signatures(hashed: DataFrame, cfg: DedupConfig = DedupConfig()) -> DataFrame:
+    """doc_id, sig: the smallest value of each hash function over a document's shingles (doc_id, h)."""
+    factors = np.array([2 * (0x9E3779B97F4A7C15 * (i + 1) % (1 << 62)) + 1 for i in range(cfg.permutations)], dtype=np.uint64)
+
+    def run(batches):
+        for batch in batches:
+            h = batch.column(1)
+            if not len(h):
+                continue
+            x = np.asarray(h.flatten()).view(np.uint64)
+            x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+            x ^= x >> np.uint64(29)
+            at = np.concatenate([[0], np.cumsum(np.diff(h.offsets.to_numpy()))[:-1]])
+            sig = np.stack([np.minimum.reduceat(x * f, at) for f in factors], axis=1)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, sig.size + 1, len(factors)), pa.int32()), pa.array(sig.ravel().view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists], ["doc_id", "sig"])
+
+    ship(hashed.sparkSession)
+    return hashed.select("doc_id", "h").mapInArrow(run, "doc_id long, sig array<long>")
+
+
 def lsh_candidates(docs: DataFrame, cfg: DedupConfig = DedupConfig(), most: int = 250_000) -> DataFrame:
     """(a, b) of distinct contents that share a band of their MinHash signatures; too many candidates raise."""
     reps = exact_groups(docs, 1).select(F.col("rep").alias("doc_id"))

@@ -29,7 +29,7 @@ def register(name: str, sql: str | None = None):
 
 def load() -> None:
     """Import the modules that register queries."""
-    from . import dedup, merging, parsing, quality, readside, records, text  # noqa: F401
+    from . import compound, dedup, merging, parsing, quality, readside, records, text  # noqa: F401
 
 
 load()

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from skein.functions import text as T
 from skein.operators import ranking as R
+from skein.operators import redaction as X
 from skein.sources import tables as S
 from skein.sources.tables import table
 
@@ -100,20 +101,9 @@ def pii_scrub(spark: SparkSession, d: str) -> DataFrame:
 
 @register("boilerplate_redaction", "select b.item_id, count(*) as docs, sum(length(b.text))::bigint as chars from benchmark b join documents d on contains(d.text, b.text) group by 1")
 def boilerplate(spark: SparkSession, d: str) -> DataFrame:
-    """Documents that hold a passage verbatim; a passage has eight words or more.
-
-    Six of a passage's words, from the second on, are looked up among all six-word runs of the documents by an equi-join
-    on a hash, and only those documents are searched, so no document meets every passage.
-    """
-    docs, items = table(spark, d, "documents"), table(spark, d, "benchmark").filter("length(text) > 0")
-    words = lambda c: F.split(F.trim(F.regexp_replace(c, r"\s+", " ")), " ")
-    # the first and last words of a passage may be joined to more in a document, so the anchor starts at the second
-    anchor = items.withColumn("w", words(F.col("text"))).select("item_id", F.col("text").alias("passage"), F.xxhash64(F.array_join(F.slice("w", 2, 6), " ")).alias("k"))
-    runs = docs.select("doc_id", "text", words(F.col("text")).alias("w"))
-    keys = runs.select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 5, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice("w", i, 6), " "))))).alias("k"))
-    found = keys.join(anchor, "k").select("doc_id", "item_id", "passage").distinct()
-    whole = found.join(docs.select("doc_id", "text"), "doc_id").filter(F.contains("text", F.col("passage")))
-    return whole.groupBy("item_id").agg(F.count(F.lit(1)).alias("docs"), F.sum(F.length("passage")).alias("chars"))
+    """How many documents hold each passage verbatim, whatever its length."""
+    held = X.holding(table(spark, d, "documents"), table(spark, d, "benchmark"))
+    return held.groupBy("item_id").agg(F.count(F.lit(1)).alias("docs"), F.sum(F.length("passage")).alias("chars"))
 
 
 @register("s2_url_format", "select format, count(*) as n from (select case when e in ('docx','doc','rtf','txt') then e else 'other' end as format from (select lower(regexp_extract(url, '\\.([^./]+)$', 1)) as e from pages)) group by 1")

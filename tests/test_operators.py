@@ -15,6 +15,8 @@ from skein.operators import edges as E
 from skein.operators import graph as G
 from skein.operators import merge as M
 from skein.operators import ranking as R
+from skein.operators import redaction as X
+from skein.operators import states as St
 from skein.sources import tables as S
 from skein.streaming import events as Z
 
@@ -175,3 +177,25 @@ def test_neighbours_across_blocks(spark, data):
     one = {(r.vec_id, r.rank): (r.other, round(r.score, 9)) for r in R.neighbours_in_bucket(rows, 3).collect()}
     many = {(r.vec_id, r.rank): (r.other, round(r.score, 9)) for r in R.neighbours_in_bucket(rows, 3, block=16).collect()}
     assert one == many and len(one) == 3 * rows.count()
+
+
+def test_redaction_cuts_every_occurrence_once(spark):
+    long = "one two three four five six seven eight nine"
+    docs = spark.createDataFrame([(1, f"x{long}y and {long}."), (2, "short bit, a short bit"), (3, None), (4, "a one two three four five six seven eight nine ten"), (5, "clean")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, long), (2, "short bit"), (3, "bit, a"), (4, long + " ten"), (5, ""), (6, None), (7, r"\E+")], "item_id long, text string")
+    got = {r.doc_id: (r.text, r.n_cuts) for r in X.redacted(docs, items).collect()}
+    assert got[1] == ("x y and  .", 2) and got[3] == (None, 0) and got[4] == ("a  ", 1) and got[5] == ("clean", 0)
+    assert "short" not in got[2][0] and "bit" not in got[2][0]
+
+
+def test_states_walk_in_order_and_refuse(spark):
+    rows = [(1, 3, "go"), (1, 1, "open"), (1, 2, "open"), (2, 1, "go"), (None, 1, "open")]
+    out = St.walked(spark.createDataFrame(rows, "k long, i long, e string"), "k", ["i"], "e", {("shut", "open"): "open", ("open", "go"): "shut"}, "shut").collect()
+    assert {(r.k, r.i): (r.before, r.after, r.allowed) for r in out} == {(1, 1): ("shut", "open", True), (1, 2): ("open", "open", False), (1, 3): ("open", "shut", True), (2, 1): ("shut", "shut", False), (None, 1): ("shut", "open", True)}
+
+
+def test_estimates_are_near_the_exact_similarity(spark, data):
+    from skein.plans.registry import QUERIES
+
+    rows = QUERIES["m3_estimated_jaccard"](spark, data).collect()
+    assert rows and all(abs(r.estimate - r.score) < 0.25 for r in rows)
