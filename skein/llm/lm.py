@@ -23,6 +23,9 @@ one that would be under 1e-30 counts as 1e-30.
 The base score is a unigram model over words with one added. Words seen at least N/``frequent`` times,
 so ``frequent`` at most, are sent to the tasks; all other occurrences meet their counts in a join.
 
+The gradient and the classes' probabilities are graphs of ``graphs``; where onnxruntime is missing, numpy
+gives the same but for the order of sums.
+
 A null or empty text has no words: its one token is the end. Without training documents N and V are 0
 and the base score is 0. Repeated rows are scored each; columns other than doc_id and text are not read.
 """
@@ -30,6 +33,7 @@ and the base score is 0. Repeated rows are scored each; columns other than doc_i
 from __future__ import annotations
 
 import base64
+import functools
 import itertools
 import re
 from dataclasses import dataclass
@@ -40,7 +44,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import hashing
+from . import graphs, hashing
 from .common import cut, ship, table
 
 END = np.uint64(0)  # stands for the end token among word hashes
@@ -342,11 +346,12 @@ def chunks(flat: np.ndarray, n: np.ndarray, bucket: np.ndarray, end: int, cfg: L
     total = np.concatenate([[0], np.cumsum(n)])
     target = np.full(first[-1] * s, -1, dtype=np.int32)
     ids = np.arange(total[-1])
-    text = np.repeat(np.arange(texts), n)
-    target[ids - total[text] + first[text] * s] = flat
+    ids += np.repeat(first[:-1] * s - total[:-1], n)
+    target[ids] = flat
     target[first[:-1] * s + n] = end
     given = np.full(first[-1] * s, cfg.buckets, dtype=np.int32)  # buckets: none
-    given[ids - total[text] + first[text] * s + 1] = bucket[flat]  # n + 1 places, so there is room
+    ids += 1  # n + 1 places, so there is room
+    given[ids] = bucket[flat]
     given[first[:-1] * s] = bucket[end]
     given = given.reshape(-1, s)
     before = np.full_like(given, cfg.buckets)
@@ -355,17 +360,17 @@ def chunks(flat: np.ndarray, n: np.ndarray, bucket: np.ndarray, end: int, cfg: L
     return np.concatenate([before, given], axis=1), target.reshape(-1, s), np.repeat(np.arange(texts), rows)
 
 
-def causal(cfg: LmConfig) -> np.ndarray:
-    """Which of the 2s places each of the last s may look at."""
-    s = cfg.stride
-    return np.arange(2 * s)[None, :] <= np.arange(s)[:, None] + s
+@functools.cache
+def causal(s: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which of the 2s places each of the last s may look at, and how far off they are."""
+    behind = np.arange(s)[:, None] + s - np.arange(2 * s)[None, :]
+    return behind >= 0, np.clip(behind, 0, 2 * s - 1)
 
 
 def distances(near: np.ndarray, cfg: LmConfig) -> tuple[np.ndarray, np.ndarray]:
     """The factor of each of 2s places for each of the last s, 0 for later places; and how far off they are."""
-    s = cfg.stride
-    far = np.clip(np.arange(s)[:, None] + s - np.arange(2 * s)[None, :], 0, 2 * s - 1)
-    return np.where(causal(cfg), np.exp(np.clip(near, -30, 30))[far], 0).astype(np.float32), far
+    seen, far = causal(cfg.stride)
+    return (np.exp(np.clip(near, -30, 30))[far] * seen).astype(np.float32), far
 
 
 def tables(p: dict, cfg: LmConfig) -> tuple[np.ndarray, np.ndarray]:
@@ -463,6 +468,65 @@ def gradient(p: dict, ch: Channels, follow: Follow, u: np.ndarray, target: np.nd
     return g
 
 
+def gradient_graph(follow: Follow, cfg: LmConfig):
+    """What ``gradient`` gives, as a session: every term is the same, sums are in another order.
+
+    A place without a bucket has neither value nor weight in the attention, so nothing depends on it.
+    What is said about ids is summed by bucket at once, for all places of all windows.
+    """
+    s, d, c, g = cfg.stride, cfg.dim, cfg.classes, graphs.Graph()
+    ints, flat = lambda *x: np.array(x, np.int64), lambda x: g("Reshape", x, np.array([-1, d], np.int64))
+    swapped, below = lambda x: g("Transpose", x, perm=[0, 2, 1]), lambda x: g("Exp", g("Clip", x, "", np.float32(60)[...]))
+    least = lambda x: g("Clip", x, np.float32(1e-30)[...])
+    keep = np.ones((cfg.buckets + 1, 1), np.float32)
+    keep[-1] = 0
+    u, last, cls = g.input("place", 2, np.int64), g.input("last", 2, np.int64), g.input("cls", 1, np.int64)
+    weight, share, mask = g.input("weight", 2), g.input("share", 1), g.input("mask", 2)
+    e, maps, top, shift = g.input("e", 2), g.input("w", 2), g.input("u", 2), g.input("c", 1)
+    key, value, query, own = g("Split", g("MatMul", e, maps), ints(d, d, d, d), outputs=4, axis=1)
+    k, q, o = g("Gather", key, u), g("Gather", g("Mul", query, np.float32(d**-0.5)[...]), last), g("Gather", own, last)
+    v = g("Gather", g("Mul", g("Concat", value, np.ones((cfg.buckets + 1, 1), np.float32), axis=1), keep), u)
+    w = g("Mul", below(g("MatMul", q, swapped(k))), mask)
+    a, total = g("Split", g("MatMul", w, v), ints(d, 1), outputs=2, axis=2)
+    inverse = g("Reciprocal", least(total))
+    a = g("Mul", a, inverse)
+    h = flat(g("Add", a, o))
+    prior = g("Mul", np.concatenate([follow.prior, np.ones((1, c), np.float32)]), below(shift))
+    z = g("Mul", below(g("MatMul", h, top)), g("Gather", prior, g("Reshape", last, ints(-1))))
+    z = g("Mul", z, g("Div", weight, least(g("ReduceSum", z, ints(1), keepdims=1))))
+    z = g("Sub", g("Gather", g("Mul", np.eye(c + 1, c, dtype=np.float32), share), cls), z)
+    g.output("gu", g("MatMul", g("Transpose", h, perm=[1, 0]), z), 2)
+    g.output("gc", g("ReduceSum", z, ints(0), keepdims=0), 1)
+    dh = g("Reshape", g("MatMul", z, g("Transpose", top, perm=[1, 0])), ints(-1, s, d))
+    dv = g("Mul", dh, inverse)
+    less = g("Neg", g("ReduceSum", g("Mul", dv, a), ints(2), keepdims=1))
+    dw = g("Mul", g("MatMul", g("Concat", dv, less, axis=2), swapped(v)), w)
+    g.output("gnear", g("ReduceSum", dw, ints(0), keepdims=0), 2)
+    by = lambda x, at: g("ScatterND", np.zeros((cfg.buckets + 1, d), np.float32), g("Unsqueeze", at, ints(2)), x, reduction="add")
+    # the last row, of places without a bucket, can be infinite where a weight has vanished
+    of_value = g("Concat", g("Slice", by(g("MatMul", swapped(w), dv), u), ints(0), ints(cfg.buckets), ints(0)), np.zeros((1, d), np.float32), axis=0)
+    of_query = g("Mul", by(g("MatMul", dw, k), last), np.float32(d**-0.5)[...])
+    every = g("Concat", by(g("MatMul", swapped(dw), q), u), of_value, of_query, by(dh, last), axis=1)
+    g.output("gw", g("MatMul", g("Transpose", e, perm=[1, 0]), every), 2)
+    g.output("ge", g("MatMul", every, g("Transpose", maps, perm=[1, 0])), 2)
+    return g.session()
+
+
+def graph_gradient(session, p: dict, ch: Channels, follow: Follow, u: np.ndarray, target: np.ndarray, cfg: LmConfig) -> dict[str, np.ndarray]:
+    """``gradient`` by the session of ``gradient_graph``."""
+    s, u = cfg.stride, u.astype(np.int64)
+    mask, far = distances(p["near"], cfg)
+    t = target.ravel()
+    on = t >= 0
+    share = np.float32(1 / max(np.count_nonzero(on), 1))
+    cls = np.where(on, follow.cls[ch.bucket[t]], cfg.classes)
+    given = {"place": u, "last": np.ascontiguousarray(u[:, s:]), "cls": cls, "weight": (on * share)[:, None], "share": np.array([share]), "mask": mask} | {k: p[k] for k in "ewuc"}
+    g = {}
+    g["u"], g["c"], near, g["w"], g["e"] = session.run(["gu", "gc", "gnear", "gw", "ge"], given)
+    g["near"] = np.bincount(far.ravel(), near.ravel(), 2 * s).astype(np.float32)
+    return g
+
+
 class Climb:
     """Adam steps over windows as they come, ``steps_of`` at a time; what is left over waits for more."""
 
@@ -472,6 +536,7 @@ class Climb:
         self.ch, self.follow, self.cfg = ch, follow, cfg
         self.steps = self.seen = 0
         self.left: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
+        self.session = gradient_graph(follow, cfg) if graphs.available() else None
 
     def add(self, u: np.ndarray, target: np.ndarray, follows: np.ndarray | None = None) -> None:
         self.seen += len(u)
@@ -490,10 +555,15 @@ class Climb:
             self.left = None
         return self.p
 
+    def gradient(self, u: np.ndarray, target: np.ndarray, follows: np.ndarray) -> dict:
+        if self.session is None:
+            return gradient(self.p, self.ch, self.follow, u, target, self.cfg, follows)
+        return graph_gradient(self.session, self.p, self.ch, self.follow, u, target, self.cfg)
+
     def step(self, u: np.ndarray, target: np.ndarray, follows: np.ndarray) -> None:
         self.steps += 1
         one, two = self.cfg.rate / (1 - 0.9**self.steps), 1 / (1 - 0.99**self.steps)
-        for k, x in gradient(self.p, self.ch, self.follow, u, target, self.cfg, follows).items():
+        for k, x in self.gradient(u, target, follows).items():
             m, v = self.m[k], self.v[k]
             m += np.float32(0.1) * (x - m)
             x *= x
@@ -613,31 +683,59 @@ class Scorer:
         own = asked[:-1, d:] @ p["u"] + p["c"]
         self.prior = m.follow.prior * np.exp(own - own.max(axis=1, keepdims=True))
         self.within = m.follow.within.ravel()
-        self.cls = m.follow.cls[m.channels.bucket].astype(np.int32)  # of ids
+        self.cls = m.follow.cls[m.channels.bucket].astype(np.int64)  # of ids
         self.ones = np.ones(cfg.classes, np.float32)
+        self.session = self.graph() if graphs.available() else None
+
+    def graph(self):
+        """The probability of every target's class, from its window's buckets, as a session."""
+        d, g, top = self.cfg.dim, graphs.Graph(), self.m.weights["u"]
+        ints, longest = lambda *x: np.array(x, np.int64), lambda x, axis: float(np.sqrt((x.astype(np.float64) ** 2).sum(axis).max()))
+        # products are no larger than those of the longest rows, and means of values no longer than these
+        exp = lambda x, most: g("Exp", x if most < 59 else g("Clip", x, "", np.float32(60)[...]))
+        u, last, cls = g.input("place", 2, np.int64), g.input("last", 2, np.int64), g.input("cls", 2, np.int64)
+        q, k = g("Gather", self.queries, last), g("Gather", self.keyed[:, : d + 1], u)
+        w = exp(g("MatMul", q, g("Transpose", k, perm=[0, 2, 1])), longest(self.queries[:, :d], 1) * longest(self.keyed[:, :d], 1))
+        w = g("Mul", w, self.mask)
+        total = g("Clip", g("ReduceSum", w, ints(2), keepdims=1), np.float32(1e-30)[...])
+        h = g("MatMul", w, g("Gather", self.keyed[:, d + 1 : 2 * d + 1], u))
+        h = g("Reshape", g("Mul", h, g("Reciprocal", total)), ints(-1, d))
+        prior = np.concatenate([self.prior, np.ones((1, self.cfg.classes), np.float32)])
+        z = exp(g("MatMul", h, top), longest(self.keyed[:, d + 1 : 2 * d + 1], 1) * longest(top, 0))
+        z = g("Mul", z, g("Gather", prior, g("Reshape", last, ints(-1))))
+        g.output("x", g("Div", g("GatherElements", z, cls, axis=1), g("ReduceSum", z, ints(1), keepdims=1)), 2)
+        return g.session()
 
     def logs(self, u: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """log10 of the probability of every target, and their flat places."""
-        ch, s, d = self.m.channels, self.cfg.stride, self.cfg.dim
-        u = u.astype(np.intp)
-        last = u[:, s:]
+        ch = self.m.channels
+        u = u.astype(np.int64)
+        last, on = u[:, self.cfg.stride :], np.flatnonzero(target.ravel() >= 0)
+        t, before = target.ravel()[on], last.ravel()[on]
+        if self.session is None:
+            x = self.of_classes(u, last, on, t, before)
+        else:
+            given = {"place": u, "last": np.ascontiguousarray(last), "cls": self.cls[np.maximum(target, 0)].reshape(-1, 1)}
+            x = self.session.run(["x"], given)[0].ravel()[on]
+        x *= self.within.take(before * self.cfg.buckets + ch.bucket[t])
+        x *= ch.in_bucket[t]
+        return np.log10(np.maximum(x, 1e-30)), on
+
+    def of_classes(self, u: np.ndarray, last: np.ndarray, on: np.ndarray, t: np.ndarray, before: np.ndarray) -> np.ndarray:
+        """What ``graph`` gives, for the places ``on``, where that can't be run."""
+        d = self.cfg.dim
         k = self.keyed.take(u, axis=0)
         w = np.matmul(self.queries.take(last, axis=0), k[..., : d + 1].transpose(0, 2, 1))
         exp_of(w)
         w *= self.mask
         h = np.matmul(w, k[..., d + 1 :])
         h = h[..., :d] / np.maximum(h[..., d:], np.float32(1e-30))
-        on = np.flatnonzero(target.ravel() >= 0)
-        t, before = target.ravel()[on], last.ravel()[on]
         z = h.reshape(-1, d).take(on, axis=0) @ self.m.weights["u"]
         exp_of(z)
         z *= self.prior.take(before, axis=0)
-        x = z.ravel()[np.arange(len(on)) * z.shape[1] + self.cls[t]] / (z @ self.ones)
-        x *= self.within.take(before * self.cfg.buckets + ch.bucket[t])
-        x *= ch.in_bucket[t]
-        return np.log10(np.maximum(x, 1e-30)), on
+        return z.ravel()[np.arange(len(on)) * z.shape[1] + self.cls[t]] / (z @ self.ones)
 
-    def texts(self, flat: np.ndarray, n: np.ndarray, end: int, batch: int = 512) -> np.ndarray:
+    def texts(self, flat: np.ndarray, n: np.ndarray, end: int, batch: int = 256) -> np.ndarray:
         """log10 of each text's probability."""
         u, target, text = chunks(flat, n, self.m.channels.bucket, end, self.cfg)
         out = np.zeros(len(n))

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from skein.llm import decontam, hashing, lm, neardup, packing, pii, quality, rules, spans
+from skein.llm import decontam, graphs, hashing, lm, neardup, packing, pii, quality, rules, spans
 from tests import compare
 
 SPACED = re.compile(r"[^\x20\x09-\x0D]+")
@@ -284,6 +284,31 @@ def test_lm_trains_on_every_window(spark):
     assert seen == want and sum(want.values()) > 15 * 150 and pairs == after
 
 
+@pytest.mark.parametrize("size", [0.3, 3.0])
+def test_lm_graphs_give_what_numpy_gives(size):
+    """Empty and short texts, windows that follow and that don't, and logits far beyond the bound of 60 (size 3)."""
+    assert graphs.available()
+    cfg = lm.LmConfig(buckets=16, alone=12, classes=4, dim=3, stride=4)
+    r = np.random.default_rng(5)
+    ch = lm.Channels(r.integers(1, 50, 40).astype(float), cfg)
+    fo = lm.Follow(r.integers(0, 9, (16, 16)).astype(float), ch.unigram, cfg)
+    p = {k: (x + size * r.standard_normal(x.shape)).astype(np.float32) for k, x in lm.start_weights(cfg).items()}
+    n = np.array([0, 1, 3, 4, 5, 21, 40])
+    u, target, _ = lm.chunks(r.integers(0, 40, n.sum()), n, ch.bucket, 39, cfg)
+    climb = lm.Climb(p, ch, fo, cfg)
+    assert climb.session is not None
+    for some in (slice(None), slice(0, 1), slice(9, 14)):
+        want = lm.gradient(p, ch, fo, u[some], target[some], cfg)
+        got = climb.gradient(u[some], target[some], np.zeros(len(u[some]), bool))
+        assert got.keys() == want.keys() == p.keys()
+        assert all(got[k].shape == p[k].shape and np.allclose(got[k], want[k], rtol=1e-4, atol=1e-5 * max(1, np.abs(want[k]).max())) for k in want)
+    fast, plain = (lm.Scorer(lm.Model(ch, fo, p, None, None, 0, 0), cfg) for _ in range(2))
+    assert fast.session is not None
+    plain.session = None
+    (a, on), (b, same) = fast.logs(u, target), plain.logs(u, target)
+    assert np.array_equal(on, same) and len(on) == (target >= 0).sum() and np.allclose(a, b, rtol=1e-4, atol=1e-4)
+
+
 def test_lm_steps_take_all_windows_in_any_portions():
     cfg = lm.LmConfig(buckets=16, alone=12, classes=4, dim=3, stride=4, steps_of=8)
     r = np.random.default_rng(3)
